@@ -5,12 +5,14 @@ from __future__ import annotations
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op5_language_id
 from .mixing import op7_mix_sources
+from .ngram_join import op6_ngram_jaccard_join
 from .packing import op1_best_fit_packing
 from .token_counts import op10_token_counts
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_language_id": op5_language_id,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_token_counts": op10_token_counts,
