@@ -7,10 +7,12 @@ from .language_id import op5_language_id
 from .mixing import op7_mix_sources
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op1_best_fit_packing
+from .pii import op4_pii
 from .token_counts import op10_token_counts
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_mix_sources": op7_mix_sources,
