@@ -8,6 +8,7 @@ from .mixing import op7_mix_sources
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op1_best_fit_packing
 from .pii import op4_pii
+from .telephony import op9_telephony_audio
 from .token_counts import op10_token_counts
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_telephony_audio": op9_telephony_audio,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
