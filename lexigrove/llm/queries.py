@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op5_language_id
+from .lm_scoring import op3_lm_scoring
 from .mixing import op7_mix_sources
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op1_best_fit_packing
@@ -17,6 +18,7 @@ from .token_counts import op10_token_counts
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
