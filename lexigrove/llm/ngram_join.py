@@ -247,7 +247,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weights = materialise(candidates.groupBy("comp").agg(F.ceil(F.sum(F.col("n") + 200) / CHUNK).cast("int").alias("chunks")), "join-components")
     chunked = candidates.join(weights, "comp").withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     chunked = materialise(chunked.join(counts, "node").select(F.col("id").alias("cid"), F.col("h").alias("ch"), "node", "comp", "chunks", "side", "copies"), "join-chunks")
-    texts = base.join(chunked, F.col("id").eqNullSafe(F.col("cid")) & (F.col("h") == F.col("ch")))
+    # merged at every size: the texts are dealt out by id, whether or not the candidates would fit a broadcast
+    texts = base.join(chunked.hint("merge"), F.col("id").eqNullSafe(F.col("cid")) & (F.col("h") == F.col("ch")))
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("comp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "copies", "t")
     dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
