@@ -22,7 +22,7 @@ WIDTH, CONTEXT, STRIDE = 16, 32, 24
 SAMPLE = 1500  # training documents that the attention weights are fitted on, about
 STEPS, BATCH = 900, 96
 BLOCK_BYTES = 16 << 20
-SHARE = 0.3  # of the attention model in the interpolation
+SHARE = 0.5  # of the attention model in the interpolation
 
 
 def encoder():
