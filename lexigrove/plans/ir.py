@@ -250,3 +250,14 @@ def to_ebnf(g: Grammar) -> str:
         return "``"
 
     return "\n".join(f"{s} = {show(e, False)}" for s, e in g.rules.items()) + "\n"
+
+
+def reachable_below(g: Grammar, symbol: str) -> set[str]:
+    """Symbols that the definition of a symbol refers to, directly or not; with itself only if it is recursive."""
+    seen, stack = set(), list(references(g.rules[symbol])) if symbol in g.rules else []
+    while stack:
+        s = stack.pop()
+        if s not in seen:
+            seen.add(s)
+            stack += references(g.rules[s]) if s in g.rules else []
+    return seen
