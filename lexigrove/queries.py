@@ -2,9 +2,358 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import encode as E
+from .operators import markup as M
+from .operators import parse as P
+from .operators import rewrite as R
+from .operators import select as S
+from .plans import pipeline
+from .sources import serde
+from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+JSON = r"""
+@ whitespace = /\s*/
+@ drop = whitespace, strings, backticked
+@ disposable = value, chars
+json   = ~ value !.
+value  = object | array | string | number | bool | null
+object = "{" [ member { "," §member } ] §"}"
+member = key §":" value
+array  = "[" [ value { "," value } ] §"]"
+key    = `"` chars `"` ~
+string = `"` chars `"` ~
+chars  = /[^"\\]*(?:\\.[^"\\]*)*/
+number = /-?\d+(?:\.\d+)?/ ~
+bool   = /true|false/ ~
+null   = /null/ ~
+"""
+PROPS = r"""
+props  = /\{"k":\s*/ number /\}/
+number = /-?[0-9]+/
+"""
+TAG = "tag = `<` name\nname = /[a-z][a-z0-9]*/"
+SUM = r"""
+@ disposable = factor
+expr   = expr `+` term | expr `-` term | term
+term   = term `*` factor | factor
+factor = number | group
+group  = `(` expr `)`
+number = /[0-9]+/
+"""
+LICENCE = r"""
+notice = head rest
+head   = /Licensed under|Released under/
+rest   = /[^\n]*/
+"""
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+NUMBERS_SQL = """
+SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total
+FROM events GROUP BY event_type"""
+
+
+@query(NUMBERS_SQL)
+def props_json_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse, select, content, aggregate, with the grammar lowered to a pattern inside the JVM."""
+    (number,) = P.match_parts(F.col("props"), P.grammar(PROPS), "props", ["number"])
+    rows = table(spark, sf_dir, "events").select("event_type", number.cast("long").alias("k"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
+
+
+@query(NUMBERS_SQL)
+def props_json_number_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the parse kernel with a full JSON grammar."""
+    trees = P.parse(table(spark, sf_dir, "events").select("event_type", "props"), "props", P.grammar(JSON))
+    rows = trees.select("event_type", S.pick(F.col("tree"), "number")["text"].cast("long").alias("k"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
+
+
+@query("SELECT '/json/object/member/' || name AS path, count(*) AS n FROM (SELECT unnest(['key', 'number']) AS name FROM events) GROUP BY 1")
+def props_leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path strings of all leaves of all trees."""
+    trees = P.parse(table(spark, sf_dir, "events").select("event_id", "props"), "props", P.grammar(JSON))
+    rows = S.with_paths(trees, keep=["event_id"]).where("text is not null")
+    return rows.groupBy(F.concat(F.lit("/"), F.array_join("names", "/")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, '(json (object (member (key "k") (number "' || json_extract_string(props, '$.k') || '"))))' AS sxpr FROM events""")
+def props_as_sxpr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees written as S-expressions."""
+    trees = P.parse(table(spark, sf_dir, "events").select("event_id", "props"), "props", P.grammar(JSON))
+    return trees.select("event_id", serde.serialize(F.col("tree"), "sxpr").alias("sxpr"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 3 AS n_children FROM events")
+def tree_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-expressions read as trees, rewritten and navigated."""
+    text = F.concat(F.lit('(event (id "'), F.col("event_id").cast("string"), F.lit('") (props (k "'), F.get_json_object("props", "$.k"), F.lit('")) (:Text " "))'))
+    trees = serde.read_trees(table(spark, sf_dir, "events").select("event_id", text.alias("sxpr")), "sxpr", "sxpr")
+    size = F.size(S.children(F.col("tree"), S.root(F.col("tree"))))
+    trees = trees.select("event_id", "tree", size.alias("n_children"))
+    done = R.rewrite(trees, {"props": R.reduce_single_child, "event": R.remove_children_if(R.is_anonymous)})
+    return done.select("event_id", S.pick(F.col("tree"), "props")["text"].cast("long").alias("k"), "n_children")
+
+
+@query("""
+SELECT CASE WHEN event_id % 10 = 0 THEN 'error' ELSE 'none' END AS severity, count(*) AS n,
+       sum(CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_errors
+FROM events GROUP BY 1""")
+def errors_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth text lacks its closing bracket: errors are rows, never exceptions."""
+    text = F.when(F.col("event_id") % 10 == 0, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
+    trees = P.parse(table(spark, sf_dir, "events").select("event_id", text.alias("t")), "t", P.grammar(JSON))
+    return trees.groupBy(X.severity(F.col("max_code")).alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("errors")).alias("n_errors"))
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS name FROM pages) GROUP BY name")
+def page_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening tags by name, by a lowered grammar."""
+    tags = table(spark, sf_dir, "pages").select(F.explode(P.match_all(F.col("html"), P.grammar(TAG), "tag")).alias("t"))
+    return tags.groupBy(F.substring("t", 2, 100).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serde.read_trees(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "html")
+
+
+@query("SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS target FROM pages) GROUP BY ALL")
+def page_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of selected nodes of tolerant HTML trees."""
+    links = S.nodes(page_trees(spark, sf_dir), keep=["page_id"], where="a")
+    return links.groupBy("page_id", F.col("attrs")["href"].alias("target")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT page_id, len(regexp_extract_all(html, '<[a-z]')) AS n_open, len(regexp_extract_all(html, '</[a-z]')) AS n_close FROM pages""")
+def page_open_close_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = P.grammar("open = `<` /[a-z]/\nclose = `</` /[a-z]/\nany = open | close")
+    count = lambda s: F.size(P.match_all(F.col("html"), g, s)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", count("open").alias("n_open"), count("close").alias("n_close"))
+
+
+@query("""
+SELECT page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title,
+       replace(replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS head FROM pages""")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First matches and their content."""
+    tree = F.col("tree")
+    content = S.content(tree)
+    return page_trees(spark, sf_dir).select("page_id", *[F.coalesce(S.node_content(content, S.pick(tree, n)), F.lit("")).alias(a) for n, a in (("title", "title"), ("h1", "head"))])
+
+
+@query()
+def page_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by name with their mean depth and size below them, over all trees."""
+    rows = S.nodes(page_trees(spark, sf_dir), keep=["page_id"])
+    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("max_depth"), F.sum(F.col("last") - F.col("nid")).alias("below"))
+
+
+@query()
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate elements removed by a rewriting table, then the text that is left."""
+    table_ = {"script, style, nav, footer": R.remove, ":Text": R.normalize_whitespace}
+    done = R.rewrite(page_trees(spark, sf_dir).select("page_id", "tree"), table_)
+    return done.select("page_id", F.length(S.content(F.col("tree"))).alias("n_chars"), F.size("tree").alias("n_nodes"))
+
+
+@query("SELECT lang, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents GROUP BY lang")
+def doc_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.size(F.split("text", "\n", -1))).alias("n_lines"))
+
+
+@query("""
+WITH half AS (SELECT doc_id, left(text, CAST(length(text) // 2 AS BIGINT)) AS t FROM documents)
+SELECT doc_id, length(t) - length(replace(t, chr(10), '')) + 1 AS line,
+       length(t) - CASE WHEN strpos(t, chr(10)) = 0 THEN 0 ELSE length(t) - strpos(reverse(t), chr(10)) + 1 END + 1 AS col
+FROM half""")
+def doc_line_col(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and column of the middle of each text."""
+    at = X.line_col(F.col("text"), F.floor(F.length("text") / 2).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", at.alias("x")).select("doc_id", F.col("x.line").cast("long").alias("line"), F.col("x.col").cast("long").alias("col"))
+
+
+@query("""
+SELECT doc_id, count(*) AS n_words, max(length(w)) AS longest, sum(length(w))::BIGINT AS n_chars
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n]+')) AS w FROM documents) GROUP BY doc_id""".replace("\\\\", "\\"))
+def doc_word_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by a lowered grammar, measured inside the array."""
+    words = P.match_all(F.col("text"), P.grammar("word = /[^ \\t\\n]+/"), "word")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: F.length(w)).alias("n")).where(F.size("n") > 0)
+    return rows.select("doc_id", F.size("n").cast("long").alias("n_words"), F.array_max("n").cast("long").alias("longest"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"))
+
+
+LINES_SQL = """
+WITH lines AS (SELECT doc_id, length(text) // 2 AS pos, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS l FROM documents),
+     placed AS (SELECT *, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(l) - 1 AS cs FROM lines)
+"""
+
+
+@query(LINES_SQL + "SELECT doc_id, k::BIGINT AS line, (pos - cs)::BIGINT AS within FROM placed WHERE cs <= pos AND pos <= cs + length(l)")
+def leaf_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf that covers an offset, of trees built in the JVM."""
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("pos"), E.line_tree(F.col("text")).alias("tree"))
+    hit = docs.select("doc_id", "pos", S.leaf_at(F.col("tree"), F.col("pos")).alias("n"))
+    return hit.select("doc_id", (F.col("n.ord") + 1).cast("long").alias("line"), (F.col("pos") - F.col("n.cs")).cast("long").alias("within"))
+
+
+@query(LINES_SQL + "SELECT doc_id, pos::BIGINT AS pos, lang AS orig_file, (pos - max(cs))::BIGINT AS orig_pos FROM placed JOIN documents USING (doc_id) WHERE cs <= pos GROUP BY doc_id, pos, lang")
+def source_map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of lookup of positions in segments that begin with each line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.length("text") / 2).cast("long").alias("pos"), "text")
+    starts = F.concat(F.array(F.lit(0)), F.transform(X.line_breaks(F.col("text")), lambda b: b + 1))
+    segments = docs.select("doc_id", F.explode(starts.cast("array<bigint>")).alias("start"), F.col("lang").alias("file")).withColumn("offset", -F.col("start"))
+    return X.source_lookup(docs.select("doc_id", "pos"), segments)
+
+
+@query("""
+SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def prev_next_sibling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours among siblings of node rows."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.lit(0).alias("pid"), F.col("turn").alias("nid"), F.col("turn").alias("ord"))
+    near = S.with_siblings(rows, "conv_id")
+    return near.select("conv_id", F.col("nid").alias("turn"), F.col("prev_sibling").alias("prev_turn"), F.col("next_sibling").alias("next_turn"))
+
+
+@query("""
+WITH marked AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM conversations),
+     runs AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM marked)
+SELECT conv_id, run::BIGINT AS run, min(role) AS role, count(*) AS n_turns, sum(length(text))::BIGINT AS n_chars FROM runs GROUP BY conv_id, run""")
+def merge_adjacent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacent nodes of one name merged."""
+    rows = E.runs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
+    out = rows.groupBy("conv_id", "run").agg(F.min("role").alias("role"), F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
+    return out.withColumn("run", F.col("run").cast("long"))
+
+
+@query("""
+SELECT conv_id, count(*) AS n_children, min_by(role, turn) AS first_role, max_by(text, turn) AS last_text, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id""")
+def turn_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as trees: children, first and last."""
+    trees = E.group_trees(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", "role", "conversation")
+    tree, top = F.col("tree"), S.root(F.col("tree"))
+    return trees.select("conv_id", F.size(S.children(tree, top)).cast("long").alias("n_children"), S.pick_child(tree, top, S.ANY_NODE)["name"].alias("first_role"), S.pick_child(tree, top, S.ANY_NODE, reverse=True)["text"].alias("last_text"), top["ce"].cast("long").alias("n_chars"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS digest FROM documents".replace("\\\\", "\\"))
+def normalize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.regexp_replace("text", r"[ \t\n\r\f]+", " ").cast("binary")).alias("digest"))
+
+
+@query("""
+SELECT '/' || r_name || '/' || n_name AS path, count(c_custkey) AS n_customers
+FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name""")
+def nation_tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of rows: paths from parents' names, children counted before the shuffle."""
+    customers = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = nations.join(customers, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return joined.select(F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name").alias("path"), F.coalesce("n", F.lit(0)).alias("n_customers"))
+
+
+@query("""
+SELECT coalesce(r_name, '*') AS region, coalesce(n_name, '*') AS nation, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS cents, count(*) AS n_orders
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+GROUP BY ROLLUP (r_name, n_name)""")
+def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-up sums over the levels of a tree of rows."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count(F.lit(1)).alias("n"))
+    joined = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    up = joined.rollup("r_name", "n_name").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n_orders"))
+    return up.select(F.coalesce("r_name", F.lit("*")).alias("region"), F.coalesce("n_name", F.lit("*")).alias("nation"), "cents", "n_orders")
+
+
+@query("SELECT o_orderkey, (o_custkey % 100) * 3 + o_orderkey - (o_custkey % 7) AS value FROM orders")
+def evaluate_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A left-recursive grammar, parsed and folded bottom-up."""
+    number = lambda c: F.col(c).cast("string")
+    text = F.concat((F.col("o_custkey") % 100).cast("string"), F.lit("*3+"), number("o_orderkey"), F.lit("-("), (F.col("o_custkey") % 7).cast("string"), F.lit(")"))
+    trees = P.parse(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")), "t", P.grammar(SUM)).select("o_orderkey", "tree")
+
+    def apply(*parts):
+        total = parts[0]
+        for sign, x in zip(parts[1::2], parts[2::2], strict=True):
+            total = total + x if sign == "+" else total - x if sign == "-" else total * x
+        return total
+
+    out = R.evaluated(trees, {"expr": apply, "term": apply, "number": int, "group": lambda a, x, b: x, ":Text": str}, "long")
+    return out.select("o_orderkey", "value")
+
+
+@query("""
+SELECT lang, count(*) AS n_notices, sum(length(s))::BIGINT AS n_chars
+FROM (SELECT lang, unnest(regexp_extract_all(text, '(?:Licensed under|Released under)[^\\n]*')) AS s FROM documents) GROUP BY lang""".replace("\\\\", "\\"))
+def licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("lang", F.explode(P.match_all(F.col("text"), P.grammar(LICENCE), "notice")).alias("s"))
+    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("n_notices"), F.sum(F.length("s")).alias("n_chars"))
+
+
+@query("""
+SELECT conv_id, turn, md5(text) AS digest, least(length(text), 12)::BIGINT AS n_marked FROM conversations WHERE length(text) > 0""")
+def markup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans wrapped in elements: the content stays, the elements hold what the spans name."""
+    rows = table(spark, sf_dir, "conversations").where("length(text) > 0")
+    spans = F.array(F.struct(F.lit(0).alias("start"), F.least(F.length("text"), F.lit(12)).alias("end"), F.lit("hi").alias("name")))
+    done = M.markup_spans(rows.select("conv_id", "turn", E.line_tree(F.col("text")).alias("tree"), spans.alias("spans")))
+    marked = F.aggregate(S.select(F.col("tree"), "hi"), F.lit(0).cast("long"), lambda a, n: a + n["ce"] - n["cs"])
+    return done.select("conv_id", "turn", F.md5(S.content(F.col("tree")).cast("binary")).alias("digest"), marked.alias("n_marked"))
+
+
+@query("""
+SELECT p_partkey, list_contains(string_split(p_type, ' '), 'STEEL') AS has_steel,
+       CASE WHEN contains(p_type, 'NEW') THEN p_type ELSE p_type || ' NEW' END AS added,
+       array_to_string(list_filter(string_split(p_type, ' '), lambda x: x <> 'STEEL'), ' ') AS removed FROM part""")
+def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", X.has_token(t, F.lit("STEEL")).alias("has_steel"), X.add_token(t, F.lit("NEW")).alias("added"), X.remove_token(t, F.lit("STEEL"), whole=True).alias("removed"))
+
+
+@query("""
+SELECT 'value' AS stage, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total FROM events
+UNION ALL SELECT 'sxpr', count(*), sum(length(json_extract_string(props, '$.k')) + length('(json (key "k") (number ""))'))::BIGINT FROM events""")
+def pipeline_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline with a common stage and two ends."""
+    g = P.grammar(JSON)
+    junctions = [
+        pipeline.Junction("source", lambda df: P.parse(df, "props", g), "cst"),
+        pipeline.Junction("cst", lambda df: R.rewrite(df.select("event_id", "max_code", "tree"), {"json": R.reduce_single_child, "object": R.replace_by_single_child}), "ast"),
+        pipeline.Junction("ast", lambda df: df.select(S.pick(F.col("tree"), "number")["text"].cast("long").alias("x")), "value"),
+        pipeline.Junction("ast", lambda df: df.select(F.length(serde.serialize(F.col("tree"), "sxpr")).cast("long").alias("x")), "sxpr"),
+    ]
+    done = pipeline.run(junctions, table(spark, sf_dir, "events").select("event_id", "props"))
+    parts = [df.select(F.lit(name).alias("stage"), "x") for name, df in done.items()]
+    return parts[0].unionByName(parts[1]).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over the table's files: counts by hour and type."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"window_counts_{uuid.uuid4().hex}"
+    run = streams.windowed_counts(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -7,7 +7,6 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -305,9 +304,9 @@ def serialize(tree: Column, how: str) -> Column:
     """A tree column as text in one of the formats of ``WRITERS``."""
     write = WRITERS[how]
 
-    @F.pandas_udf(T.StringType())
-    def run(trees: pd.Series) -> pd.Series:
-        return trees.map(lambda rows: None if rows is None else write(decode([r if isinstance(r, dict) else r.asDict() for r in rows])))
+    @F.arrow_udf(T.StringType())
+    def run(trees: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else write(t) for t in nodes_of(trees)], pa.string())
 
     return run(tree)
 
