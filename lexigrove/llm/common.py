@@ -42,6 +42,12 @@ def text_column(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns _c0, _c1, ... and the new name of each old one: no name clashes with an operator's own."""
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, documents, materialise, text_column
+from .common import col, documents, materialise, numbered, text_column
 
 
 def content_hash(text: Column) -> Column:
@@ -58,16 +58,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one stays."""
     marks = exact_dedup(docs, id_col, text_col, keep).where("kept")
     marks = materialise(marks.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_times")), "dedup-stay")
-    ids, text = "_dedup_id", "_dedup_sha"
-    while ids in docs.columns or text in docs.columns:
-        ids, text = ids + "_", text + "_"
-    keyed = docs.withColumns({ids: col(id_col), text: F.sha2(text_column(text_col).cast("binary"), 256)})
+    plain, names = numbered(docs)
+    keyed = plain.withColumns({"_key": col(names[id_col]), "_text": F.sha2(text_column(names[text_col]).cast("binary"), 256)})
 
     def of(condition: str) -> DataFrame:
-        some = marks.where(condition).select(F.col("_id").alias("k1"), F.col("_sha").alias("k2"))
-        return keyed.join(some, F.col(ids).eqNullSafe(F.col("k1")) & (F.col(text) == F.col("k2")), "left_semi")
+        return keyed.join(marks.where(condition), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_semi")
 
-    return of("_times = 1").unionByName(of("_times > 1").dropDuplicates([ids, text])).drop(ids, text)
+    stay = of("_times = 1").unionByName(of("_times > 1").dropDuplicates(["_key", "_text"]))
+    return stay.drop("_key", "_text").toDF(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

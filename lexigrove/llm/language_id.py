@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, documents, fold, string_array, text_column
+from .common import col, documents, fold, numbered, string_array, text_column
 
 SAMPLE_DOCS = 64  # documents of a language that its dictionary is made of, at most
 DICTIONARY_BYTES = 32 << 10
@@ -116,7 +116,8 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
             texts = string_array(batch.column(at)).to_pylist()
             yield batch.filter(pa.array([not model.best(t)[2] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain, _ = numbered(docs)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

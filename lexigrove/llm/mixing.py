@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import col, documents, materialise, text_column
+from .common import col, documents, materialise, numbered, text_column
 
 WORD = r"[^\x20\x09-\x0D]+"
 FINEST = 65_536
@@ -97,10 +97,11 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     marks = mix(docs, id_col, text_col, source_col, **how)
     marks = materialise(marks.groupBy(F.col(id_col).alias("k1"), F.col(source_col).cast("string").alias("k2"), F.col("size").alias("k3")).agg(F.round(F.avg("times")).cast("int").alias("k4")), "mix-times")
-    size = words(text_column(text_col))
-    joined = docs.join(marks, col(id_col).eqNullSafe(F.col("k1")) & col(source_col).cast("string").eqNullSafe(F.col("k2")) & (size == F.col("k3")))
+    plain, names = numbered(docs)
+    size = words(text_column(names[text_col]))
+    joined = plain.join(marks, col(names[id_col]).eqNullSafe(F.col("k1")) & col(names[source_col]).cast("string").eqNullSafe(F.col("k2")) & (size == F.col("k3")))
     copies = joined.where("k4 > 0").withColumn("k4", F.explode(F.array_repeat(F.lit(1), F.col("k4"))))
-    return copies.select(*[col(c) for c in docs.columns])
+    return copies.drop("k1", "k2", "k3", "k4").toDF(*docs.columns)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import col, documents, materialise, raw, slices, string_array, text_column
+from .common import col, documents, materialise, numbered, raw, slices, string_array, text_column
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9995
 CHUNK = 400_000  # n-grams (and 200 a document) that one side of a comparison holds
@@ -274,16 +274,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = jaccard_join(docs, id_col, text_col, **how).where(F.col("class_id").eqNullSafe(col(id_col)))
     stay = materialise(stay.groupBy(F.col("class_id").alias("_k")).agg(F.count(F.lit(1)).alias("_times")), "join-stay")
 
+    plain, names = numbered(docs)
+
     def of(condition: str) -> DataFrame:
-        return docs.join(stay.where(condition).select("_k"), col(id_col).eqNullSafe(F.col("_k")), "left_semi")
+        return plain.join(stay.where(condition).select("_k"), col(names[id_col]).eqNullSafe(F.col("_k")), "left_semi")
 
     # ids that come once need no second look; others keep one row for each text
-    key = "_join_text"
-    while key in docs.columns:
-        key += "_"
-    many = of("_times > 1").withColumn(key, F.sha2(text_column(text_col).cast("binary"), 256))
-    names = docs.columns
-    return of("_times = 1").unionByName(many.dropDuplicates([id_col, key]).select(*[col(c) for c in names]))
+    many = of("_times > 1").withColumn("_text", F.sha2(text_column(names[text_col]).cast("binary"), 256))
+    return of("_times = 1").unionByName(many.dropDuplicates([names[id_col], "_text"]).drop("_text")).toDF(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

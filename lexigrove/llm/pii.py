@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, documents, materialise, text_column
+from .common import col, documents, numbered, text_column
 
 # Matches may begin where the last one ended or where no character of the same run stands before: elsewhere in a run the
 # match, if any, would have begun earlier. This keeps a long run of such characters linear; possessive repeats keep the
@@ -119,7 +119,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def mask(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` with each span of at least this score replaced by its kind in angle brackets; spans in another are left to it."""
-    rows = docs.withColumn("_pii_text", text_column(text_col))
+    plain, names = numbered(docs)
+    own = names[text_col]
+    rows = plain.withColumn("_pii_text", text_column(own))
     spans = F.concat(*[spans_of(k, F.col("_pii_text")) for k in KINDS])
     spans = F.array_sort(F.transform(F.filter(spans, lambda x: x["score"] >= least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     rows = rows.withColumn("_pii_spans", spans)
@@ -131,7 +133,7 @@ def mask(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFra
         return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), new.alias("out")))
 
     masked = F.aggregate("_pii_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("_pii_spans") > 0, masked).otherwise(col(text_col))).drop("_pii_text", "_pii_spans")
+    return rows.withColumn(own, F.when(F.size("_pii_spans") > 0, masked).otherwise(col(own))).drop("_pii_text", "_pii_spans").toDF(*docs.columns)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
