@@ -69,12 +69,11 @@ class Parser:
             try:
                 got = self.bodies[name](st, pos)
             except Abort as stop:
-                if not resume:
-                    raise
-                to = self.reentry(st, stop.pos, resume)
+                to = self.reentry(st, stop.pos, resume) if resume else None
                 if to is None:
+                    stop.nodes = self.wrap(name, stop.nodes, pos)
                     raise
-                got = [*stop.nodes, Node(ZOMBIE if to == stop.pos else ZOMBIE, st.text[stop.pos : to], pos=stop.pos)], to
+                got = [*stop.nodes, *([Node(ZOMBIE, st.text[stop.pos : to], pos=stop.pos)] if to > stop.pos else [])], to
             if got is None:
                 return None
             return self.wrap(name, got[0], pos), got[1]
@@ -236,7 +235,11 @@ class Parser:
         def run(st: State, pos: int) -> Result:
             mark, out, at = len(st.log), [], pos
             for k, part in enumerate(parts):
-                got = part(st, at)
+                try:
+                    got = part(st, at)
+                except Abort as stop:
+                    stop.nodes = out + stop.nodes
+                    raise
                 if got is None:
                     if mandatory is None or k < mandatory:
                         st.undo(mark)
@@ -277,7 +280,11 @@ class Parser:
         def run(st: State, pos: int) -> Result:
             mark, out, at, n = len(st.log), [], pos, 0
             while n < high:
-                got = part(st, at)
+                try:
+                    got = part(st, at)
+                except Abort as stop:
+                    stop.nodes = out + stop.nodes
+                    raise
                 if got is None:
                     break
                 n += 1
@@ -309,9 +316,16 @@ class Parser:
 
         def run(st: State, pos: int) -> Result:
             mark, out, at, counts = len(st.log), [], pos, [0] * len(parts)
+            def next_part(part: Callable[[State, int], Result]) -> Result:
+                try:
+                    return part(st, at)
+                except Abort as stop:
+                    stop.nodes = out + stop.nodes
+                    raise
+
             while True:
                 for k, part in enumerate(parts):
-                    if counts[k] < ranges[k][1] and (got := part(st, at)) is not None and (got[1] > at or counts[k] < ranges[k][0]):
+                    if counts[k] < ranges[k][1] and (got := next_part(part)) is not None and (got[1] > at or counts[k] < ranges[k][0]):
                         counts[k] += 1
                         out += got[0]
                         at = got[1]
@@ -409,6 +423,14 @@ class Parser:
 
     # -- texts
 
+    @staticmethod
+    def with_rest(root: Node, text: str, at: int) -> Node:
+        """The tree with what follows in the text in a node of its own."""
+        if at >= len(text):
+            return root
+        parts = root.children if root.children is not None else [Node(":Text", root.text, pos=root.pos)] if root.text else []
+        return Node(root.name, [*parts, Node(ZOMBIE, text[at:], pos=at)], root.attrs, root.pos)
+
     def parse(self, text: str, start: str | None = None, complete: bool = True, trace: bool = False) -> tuple[Node, list[tuple[int, int, int, str]], list]:
         """(tree, errors by position, trace). The whole text is in the tree: what was not parsed is in ZOMBIE__ nodes."""
         text = text[1:] if text[:1] in ("\ufeff", "\uffef") else text
@@ -417,7 +439,8 @@ class Parser:
         try:
             got = self.symbols[start](st, 0)
         except Abort as stop:
-            got = [Node(start, [*stop.nodes, *([Node(ZOMBIE, text[stop.pos :], pos=stop.pos)] if stop.pos < len(text) else [])], pos=0)], len(text)
+            top = stop.nodes[0] if len(stop.nodes) == 1 and stop.nodes[0].name == start else Node(start, stop.nodes, pos=0)
+            got = [self.with_rest(top, text, stop.pos)], len(text)
         except RecursionError:
             st.error(0, RECURSION, "nested too deeply", len(text))
             got = [Node(ZOMBIE, text, pos=0)], len(text)
@@ -431,8 +454,7 @@ class Parser:
         if complete and end < len(text):
             at = max(end, st.far)
             st.error(at, STOPPED, f"stopped before the end; {st.far_symbol or start} fails at {text[at : at + 10]!r}", len(text) - at)
-            rest = Node(ZOMBIE, text[end:], pos=end)
-            root = Node(root.name, [*(root.children if root.children is not None else [Node(":Text", root.text, pos=root.pos)] if root.text else []), rest], root.attrs, root.pos)
+            root = self.with_rest(root, text, end)
         return root, [st.errors[k] for k in sorted(st.errors)], st.trace or []
 
 
