@@ -204,3 +204,28 @@ def test_text_buffers(spark, tmp_path):
     assert sorted((r.doc_id, r.version, r.text) for r in spark.table("buffers").collect()) == [(1, 2, "one\nTwo"), (2, 1, "x")]
     with pytest.raises(ValueError):
         streams.apply_edit(["a"], 3, 0, 3, 0, "")
+
+
+def test_compiler(spark):
+    from lexigrove.operators.compile import Compiler, compiled, unit_cases
+
+    class Sum(Compiler):
+        def on_add(self, node):
+            return sum(self.compile(c) for c in node.children)
+
+        def on_n(self, node):
+            if not node.text.isdigit():
+                self.error(node, "no number", 1001)
+                return 0
+            return int(node.text)
+
+        def attr_k(self, node, value):
+            self.error(node, f"{self.path[0].name} has {value}", 1)
+
+    df = serde.read_trees(spark.createDataFrame([(1, '(add (n "1") (add (n "2") (n `(k "v") "x")))'), (2, '(add "q")'), (3, "(other (n \"4\"))")], "k int, s string"), "s", "sxpr")
+    out = compiled(df.select("k", "tree"), Sum).orderBy("k").collect()
+    assert [(r.data, [e.code for e in r.errors]) for r in out] == [("3", [1, 1001]), (None, [10500]), ("[4]", [])]
+    g = P.grammar("a = b { `+` b }\nb = /\\w/")
+    cases = [("a", "match", "1", "x+y", None), ("a", "fail", "2", "x+", None), ("b", "cst", "3", "x", '(b "x")'), ("a", "ast", "4", "x", '(b "x")'), ("a", "match", "5", "+", None)]
+    ran = unit_cases(spark.createDataFrame(cases, "symbol string, kind string, name string, input string, expect string"), g, {"a": R.replace_by_single_child})
+    assert {r.name: r.passed for r in ran.collect()} == {"1": True, "2": True, "3": True, "4": True, "5": False}
