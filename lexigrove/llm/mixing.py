@@ -43,6 +43,48 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], s
     return out
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """``docs`` with _id, _source, _size and _key = -ln(u) / w."""
+    text = text_column(text_col)
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), col(id_col).cast("string"), text), 11).cast("double") + 0.5) / float(1 << 53)
+    return docs.withColumns({"_id": col(id_col), "_source": col(source_col).cast("string"), "_size": words(text), "_key": -F.log(unit) / letters_weight(text)})
+
+
+def _ranged(rows: DataFrame, plan: list[tuple], spark: SparkSession) -> DataFrame:
+    """``rows`` with the plan of their source and the range that their key falls into."""
+    schema = T.StructType([T.StructField(n, t) for n, t in (("_s", T.StringType()), ("_source_size", T.LongType()), ("_target", T.DoubleType()), ("_epochs", T.IntegerType()), ("_budget", T.DoubleType()), ("_ranges", T.LongType()), ("_border", T.LongType()), ("_before", T.LongType()))])
+    by_source = F.broadcast(spark.createDataFrame(plan, schema))  # as many rows as the recipe has sources
+    joined = rows.join(by_source, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    return joined.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * F.col("_ranges")), F.col("_ranges") - 1))
+
+
+def _planned(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> list[tuple]:
+    """By source: size, target, epochs, budget of words beyond them, number of ranges, the range that holds the border, words before it."""
+    totals = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    aims, plan = targets([(r["_source"], r["size"]) for r in totals], weights, share, most), []
+    for r in totals:
+        aim, total = aims[r["_source"]], r["size"]
+        epochs = min(int(aim // total), int(most)) if total else 0
+        plan.append((r["_source"], total, aim, epochs, max(0.0, aim - epochs * total), min(FINEST, r.n // 256 + 1), None, None))
+    sums = _ranged(rows, plan, rows.sparkSession).groupBy("_source", "_range", "_budget").agg(F.sum("_size").alias("sum"))
+    run = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    border = sums.withColumn("before", F.coalesce(F.sum("sum").over(run), F.lit(0))).where("before < _budget and before + sum >= _budget")
+    at = {r["_source"]: (r.b["_range"], r.b.before) for r in border.groupBy("_source").agg(F.min_by(F.struct("_range", "before"), "_range").alias("b")).collect()}
+    return [x[:6] + at.get(x[0], (None, None)) for x in plan]
+
+
+def _timed(rows: DataFrame, plan: list[tuple]) -> DataFrame:
+    """``rows`` with _times. Only rows of the ranges that hold a border are sorted; the others need no look at any other row."""
+    rows = _ranged(rows, plan, rows.sparkSession)
+    inner = Window.partitionBy("_source").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = rows.where("_range = _border").withColumn("_sum", F.col("_before") + F.sum("_size").over(inner))
+    # half of the border document inside the budget: the sum is nearer with it
+    edge = edge.withColumn("_more", (F.col("_sum") - F.col("_size") / 2 <= F.col("_budget")).cast("int")).drop("_sum")
+    # without a border the whole source fits the budget, which happens only through rounding or at a budget of 0
+    rest = rows.where("_border is null or _range <> _border").withColumn("_more", F.coalesce((F.col("_range") < F.col("_border")).cast("int"), F.lit(0)))
+    return edge.unionByName(rest).withColumn("_times", (F.col("_epochs") + F.col("_more")).cast("int"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 7) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, times, taken.
 
@@ -57,51 +99,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null text: size 0. A source of size 0 has target 0 and is not taken. Null source: a source of its own, last in
     order. Null ids and repeated rows are rows like others (equal keys: the smaller id first). Empty input: empty result.
     """
-    spark, text = docs.sparkSession, text_column(text_col)
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), col(id_col).cast("string"), text), 11).cast("double") + 0.5) / float(1 << 53)
-    rows = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), words(text).alias("size"), letters_weight(text).alias("w"), unit.alias("u"))
-    rows = rows.select("id", "source", "size", (-F.log("u") / F.col("w")).alias("key"))
-    rows = materialise(rows, "mix-keys")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    aims = targets([(r.source, r["size"]) for r in totals], weights, share, most)
-    plan = []
-    for r in totals:
-        aim, total = aims[r.source], r["size"]
-        epochs = min(int(aim // total), int(most)) if total else 0
-        plan.append((r.source, total, aim, epochs, max(0.0, aim - epochs * total), min(FINEST, r.n // 256 + 1)))
-    schema = T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("epochs", T.IntegerType()), ("budget", T.DoubleType()), ("ranges", T.LongType()))])
-    by_source = F.broadcast(spark.createDataFrame(plan, schema).withColumnRenamed("source", "s"))  # as many rows as the recipe
-    rows = rows.join(by_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")), F.col("ranges") - 1))
-    sums = rows.groupBy("source", "range", "budget").agg(F.sum("size").alias("sum"))
-    run = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    border = sums.withColumn("before", F.coalesce(F.sum("sum").over(run), F.lit(0)))
-    border = border.where("before < budget and before + sum >= budget").groupBy("source").agg(F.min_by(F.struct("range", "before"), "range").alias("b")).collect()
-    at = spark.createDataFrame([(r.source, r.b.range, r.b.before) for r in border], "s string, border long, before long")
-    rows = rows.join(F.broadcast(at), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    inner = Window.partitionBy("source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where("range = border").withColumn("sum", F.col("before") + F.sum("size").over(inner))
-    # half of the border document inside the budget: the sum is nearer with it
-    edge = edge.withColumn("more", (F.col("sum") - F.col("size") / 2 <= F.col("budget")).cast("int"))
-    # without a border the whole source fits the budget, which happens only through rounding or at a budget of 0
-    rest = rows.where("border is null or range <> border").withColumn("more", F.coalesce((F.col("range") < F.col("border")).cast("int"), F.lit(0)))
-    names = ["id", "source", "size", "source_size", "target", "epochs", "more"]
-    out = edge.select(*names).unionByName(rest.select(*names)).withColumn("times", (F.col("epochs") + F.col("more")).cast("int"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    rows = materialise(_keyed(docs, id_col, text_col, source_col, seed).select("_id", "_source", "_size", "_key"), "mix-keys")
+    out = _timed(rows, _planned(rows, weights, share, most))
+    return out.select(
+        F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"), F.col("_times").alias("times"), (F.col("_times") * F.col("_size")).alias("taken"),
+    )
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` with all their columns, each as often as the mix takes it (0 times: gone).
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as ``mix`` takes it (0 times: gone).
 
-    Rows that share id, source and size are taken as often as all of them together should be.
+    The plan comes from a narrow table of keys; then each row is taken by its own key, without a join to any other table of rows.
     """
-    marks = mix(docs, id_col, text_col, source_col, **how)
-    marks = materialise(marks.groupBy(F.col(id_col).alias("k1"), F.col(source_col).cast("string").alias("k2"), F.col("size").alias("k3")).agg(F.round(F.avg("times")).cast("int").alias("k4")), "mix-times")
     plain, names = numbered(docs)
-    size = words(text_column(names[text_col]))
-    joined = plain.join(marks, col(names[id_col]).eqNullSafe(F.col("k1")) & col(names[source_col]).cast("string").eqNullSafe(F.col("k2")) & (size == F.col("k3")))
-    copies = joined.where("k4 > 0").withColumn("k4", F.explode(F.array_repeat(F.lit(1), F.col("k4"))))
-    return copies.drop("k1", "k2", "k3", "k4").toDF(*docs.columns)
+    keyed = _keyed(plain, names[id_col], names[text_col], names[source_col], seed)
+    rows = materialise(keyed.select("_id", "_source", "_size", "_key"), "mix-keys")
+    timed = _timed(keyed, _planned(rows, weights, share, most)).where("_times > 0")
+    copies = timed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
+    return copies.select(*names.values()).toDF(*docs.columns)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
