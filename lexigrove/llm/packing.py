@@ -37,7 +37,7 @@ class ByteEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.slow = Tokenizer.from_file(json_path)
-        self.plain = re.compile("[\t\n\r\x20-\x7e -ÿĀ-ſ‐-‧€]*")
+        self.plain = re.compile("[\t\n\r\x20-\x7e\u00a0-\u017f\u2010-\u2027\u20ac]*")
 
     def ids(self, text: str) -> np.ndarray:
         if SPECIAL in text or not self.plain.fullmatch(text):
