@@ -14,29 +14,14 @@ from .operators import markup as M
 from .operators import parse as P
 from .operators import rewrite as R
 from .operators import select as S
-from .plans import pipeline
+from .plans import library, pipeline
+from .plans.library import JSON
 from .sources import serde
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-JSON = r"""
-@ whitespace = /\s*/
-@ drop = whitespace, strings, backticked
-@ disposable = value, chars
-json   = ~ value !.
-value  = object | array | string | number | bool | null
-object = "{" [ member { "," §member } ] §"}"
-member = key §":" value
-array  = "[" [ value { "," value } ] §"]"
-key    = `"` chars `"` ~
-string = `"` chars `"` ~
-chars  = /[^"\\]*(?:\\.[^"\\]*)*/
-number = /-?\d+(?:\.\d+)?/ ~
-bool   = /true|false/ ~
-null   = /null/ ~
-"""
 PROPS = r"""
 props  = /\{"k":\s*/ number /\}/
 number = /-?[0-9]+/
@@ -348,6 +333,29 @@ def pipeline_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
 
 
+@query("SELECT p_partkey, p_name, p_brand FROM part")
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as quoted CSV text, parsed, and read from the trees' children."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    text = F.concat_ws(",", F.col("p_partkey").cast("string"), quoted(F.col("p_name")), quoted(F.col("p_brand")))
+    trees = P.parse(table(spark, sf_dir, "part").select(text.alias("t")), "t", library.load("csv"))
+    tree = F.col("tree")
+    cells = F.transform(S.children(tree, S.pick(tree, "row")), lambda n: F.replace(S.node_content(S.content(tree), n), F.lit('""'), F.lit('"')))
+    rows = trees.select(cells.alias("c"))
+    return rows.select(F.get("c", F.lit(0)).cast("long").alias("p_partkey"), F.get("c", F.lit(1)).alias("p_name"), F.get("c", F.lit(2)).alias("p_brand"))
+
+
+@query("""
+SELECT c_mktsegment AS section, 'balance' AS key, count(*) AS n, sum(CAST(floor(c_acctbal) AS BIGINT))::BIGINT AS total FROM customer GROUP BY c_mktsegment""")
+def ini_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of sections and entries: values joined to the section that holds them by the trees' intervals."""
+    text = F.concat(F.lit("["), "c_mktsegment", F.lit("]\nbalance = "), F.floor("c_acctbal").cast("string"), F.lit("\n"))
+    trees = P.parse(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("t")), "t", library.load("ini")).select("doc_id", "tree")
+    tree = F.col("tree")
+    rows = trees.select(S.pick(tree, "name")["text"].alias("section"), S.pick(tree, "key")["text"].alias("key"), S.pick(tree, "value")["text"].cast("long").alias("v"))
+    return rows.groupBy("section", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream over the table's files: counts by hour and type."""

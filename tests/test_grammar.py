@@ -131,3 +131,31 @@ def test_lowered_equals_kernel(spark):
         for t in texts:
             tree, errors, _ = p.parse(t, complete=False)
             assert got[t] == (None if any(c == kernel.NO_MATCH for _, _, c, _ in errors) else tree.content), (text, t)
+
+
+@pytest.mark.parametrize(
+    "name, text, tree",
+    [
+        ("json", ' {"a": [1, -2.5e3, true]} ', None),
+        ("arithmetic", "1 + 2*-(3)", '(expr (expr (term (number "1"))) (:Text "+") (term (term (number "2")) (:Text "*") (negated (:Text "-") (group (:Text "(") (expr (term (number "3"))) (:Text ")")))))'),
+        ("ini", "; c\na = 1\n[s t]\nb=x y\n\n", None),
+        ("csv", 'a,"b ""c""",\n1,2,3', None),
+        ("outline", "# T\n\ntext one\nmore\n- item\n* two\n", None),
+    ],
+)
+def test_library(name, text, tree):
+    from lexigrove.plans import library
+
+    g = library.load(name)
+    got, errors, _ = kernel.Parser(g).parse(text)
+    assert errors == [] and [e for e in g.errors if e[1] >= 1000] == []
+    assert tree is None or as_sxpr(got) == tree
+
+
+def test_ini_and_csv_trees():
+    from lexigrove.plans import library
+
+    tree, _, _ = kernel.Parser(library.load("ini")).parse("a = 1\n[s]\nb=x y\n")
+    assert [(n.name, n.content) for n in tree.walk() if n.name in ("key", "value", "name")] == [("key", "a"), ("value", "1"), ("name", "s"), ("key", "b"), ("value", "x y")]
+    tree, _, _ = kernel.Parser(library.load("csv")).parse('a,"b",\n1,2,3')
+    assert [[c.content for c in r.children] for r in tree.children if r.name == "row"] == [["a", "b", ""], ["1", "2", "3"]]
