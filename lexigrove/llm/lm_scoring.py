@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from .common import col, documents, fold, materialise, raw, slices, string_array
 VOCABULARY = 50257
 END = VOCABULARY  # the end of a text, also what stands before its first subword
 SINGLE, SHARED = 224, 32  # classes of one subword each, and of the others by frequency
-WIDTH, CONTEXT, STRIDE = 16, 32, 24
+WIDTH, CONTEXT, STRIDE = 16, 32, 26
 SAMPLE = 1500  # training documents that the attention weights are fitted on, about
 STEPS, BATCH = 900, 96
 BLOCK_BYTES = 16 << 20
@@ -37,33 +38,51 @@ def encoder():
     return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Ids of words by hash, kept in a worker from batch to batch; forgotten when there are too many.
+_coded: dict[int, list[int]] = {}
+CODED = 300_000
+
+
 @dataclass
 class Words:
-    """Words of several texts: by word its number among the distinct ones, ``n`` being the end of a text."""
+    """Words of several texts: by word its number among the distinct ones, the number of these being the end of a text."""
 
     hashes: np.ndarray  # of the distinct words
     sequence: np.ndarray  # numbers of all words, an end after each text's
     firsts: np.ndarray  # first of each text in the sequence, and the sequence's length
-    strings: list[str]  # the distinct words, a space before each
+    buffer: np.ndarray  # bytes of the texts
+    starts: np.ndarray  # of one occurrence of each distinct word
+    ends: np.ndarray
 
     @classmethod
     def of(cls, texts: pa.StringArray) -> Words:
         buffer, offsets = raw(texts)
-        starts, ends, firsts = hashing.words(buffer, offsets)
-        hashes, at, inverse = np.unique(hashing.word_hashes(buffer, starts, ends), return_index=True, return_inverse=True)
-        data = buffer.tobytes().lower()
-        strings = [" " + data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        counts = np.diff(firsts) + 1
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        sequence = np.full(int(bounds[-1]), len(hashes), np.int64)
-        sequence[np.arange(len(inverse)) + np.repeat(np.arange(len(texts)), np.diff(firsts))] = inverse
-        return cls(hashes, sequence, bounds, strings)
+        parts, counts = [], []
+        for a, b in slices(texts):  # small enough for the caches
+            low = int(offsets[a])
+            starts, ends, firsts = hashing.words(buffer[low : int(offsets[b])], offsets[a : b + 1] - low)
+            parts.append((hashing.word_hashes(buffer[low : int(offsets[b])], starts, ends), starts + low, ends + low))
+            counts.append(np.diff(firsts))
+        every, starts, ends = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts, strict=True) if parts else [()] * 3, (np.uint64, np.int64, np.int64), strict=True))
+        counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        hashes, at, inverse = np.unique(every, return_index=True, return_inverse=True)
+        bounds = np.concatenate([[0], np.cumsum(counts + 1)])
+        sequence = np.full(int(bounds[-1]), len(hashes), np.int32)
+        sequence[np.arange(len(inverse)) + np.repeat(np.arange(len(texts)), counts)] = inverse
+        return cls(hashes, sequence, bounds, buffer, starts[at], ends[at])
 
     def subwords(self, coder) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all distinct words and the end, first of each)."""
-        coded = [coder.encode_ordinary(w) for w in self.strings] + [[END]]
+        """(ids of all distinct words and the end, first of each). A word is encoded in lower case with a space before it."""
+        if len(_coded) > CODED:
+            _coded.clear()
+        keys = self.hashes.tolist()
+        for k, key in enumerate(keys):
+            if key not in _coded:
+                _coded[key] = coder.encode_ordinary(" " + self.buffer[self.starts[k] : self.ends[k]].tobytes().lower().decode())
+        coded = [_coded[k] for k in keys]
+        coded.append([END])
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        return np.fromiter((i for w in coded for i in w), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
+        return np.fromiter(itertools.chain.from_iterable(coded), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -79,12 +98,12 @@ class Model:
         """``counts`` of each subword and, last, of the end."""
         n = len(counts)
         order = np.lexsort((np.arange(n), -counts))
-        self.classes = np.empty(n, np.int64)
+        self.classes = np.empty(n, np.int16)
         head = [END, *[int(i) for i in order if i != END][: SINGLE - 1]]
         self.classes[head] = np.arange(len(head))
         rest = np.array([i for i in order if i not in set(head)], np.int64)
         mass = np.cumsum(counts[rest] + 0.01)
-        self.classes[rest] = len(head) + np.minimum(mass / mass[-1] * SHARED, SHARED - 1).astype(np.int64) if len(rest) else 0
+        self.classes[rest] = len(head) + np.minimum(mass / mass[-1] * SHARED, SHARED - 1).astype(np.int16) if len(rest) else 0
         size = SINGLE + SHARED
         smooth = counts + 0.01
         within = np.bincount(self.classes, smooth, size)
@@ -108,6 +127,13 @@ class Model:
         o = a @ v
         return x, q, k, v, a, o, x + o @ w["o"]
 
+    def bounded(self) -> bool:
+        """Whether no logit can pass 80: by the largest state that any class, place and attention can give."""
+        w, norm = self.w, lambda x: float(np.linalg.norm(x, axis=-1).max())
+        places = norm(w["e"]) + norm(w["p"])
+        state = places + places * float(np.linalg.norm(w["v"] @ w["o"], 2))
+        return state * norm(w["u"].T) + float(w["b"].max()) < 80
+
     def train(self, before: np.ndarray, after: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 4) -> float:
         """Adam on windows of class numbers; returns the mean loss of the last tenth of the steps."""
         r, root = np.random.Generator(np.random.PCG64(seed)), np.float32(1 / math.sqrt(WIDTH))
@@ -152,7 +178,7 @@ class Model:
         """Natural log probability of each id, scored once: ``ids`` of all texts, an end after each."""
         classes = self.classes[ids]
         lengths = np.diff(firsts)
-        out = np.zeros(len(ids))
+        out = np.zeros(len(ids), np.float32)
         windows = 1 + np.maximum(0, -(-(lengths - CONTEXT) // STRIDE))
         text = np.repeat(np.arange(len(lengths)), windows)
         number = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -160,7 +186,7 @@ class Model:
         before = np.concatenate([[0], classes[:-1]])  # class 0: the end
         before[firsts[:-1]] = 0
         ramp, last = np.arange(CONTEXT), len(ids) - 1
-        w, inside = self.w, self.inside[ids]
+        w, inside, bounded = self.w, self.inside[ids], self.bounded()
         for a in range(0, len(text), 256):
             at = begin[a : a + 256, None] + ramp
             own = at < firsts[1:][text[a : a + 256], None]
@@ -295,7 +321,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             ids, first = w.subwords(coder)
             sizes = np.diff(first)[w.sequence]
             bounds = np.concatenate([[0], np.cumsum(sizes)])[w.firsts]
-            logs = model.logs(ids[ragged(first[w.sequence], sizes)], bounds)
+            logs = model.logs(ids[ragged(first[w.sequence], sizes)], bounds).astype(np.float64)
             by_token = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
             attention = np.add.reduceat(by_token, w.firsts[:-1]) / math.log(10)
             # the attention model and the corpus' word frequencies are both distributions over words
