@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import itertools
 import math
 from collections.abc import Iterator
@@ -20,8 +21,8 @@ VOCABULARY = 50257
 END = VOCABULARY  # the end of a text, also what stands before its first subword
 SINGLE, SHARED = 224, 32  # classes of one subword each, and of the others by frequency
 WIDTH, CONTEXT, STRIDE = 16, 32, 26
-SAMPLE = 1500  # training documents that the attention weights are fitted on, about
-STEPS, BATCH = 900, 96
+STEPS, BATCH = 900, 96  # of the start on the first block, at least; windows of a step
+RATES = 0.02, 0.005  # of the start, and of the pass over all blocks
 BLOCK_BYTES = 16 << 20
 SHARE = 0.5  # of the attention model in the interpolation
 
@@ -134,13 +135,19 @@ class Model:
         state = places + places * float(np.linalg.norm(w["v"] @ w["o"], 2))
         return state * norm(w["u"].T) + float(w["b"].max()) < 80
 
-    def train(self, before: np.ndarray, after: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 4) -> float:
-        """Adam on windows of class numbers; returns the mean loss of the last tenth of the steps."""
+    def train(self, before: np.ndarray, after: np.ndarray, steps: int | None = STEPS, batch: int = BATCH, rate: float = RATES[0], seed: int = 4) -> float:
+        """Adam on windows of class numbers; returns the mean loss of the last tenth of the steps.
+
+        ``steps`` None: every window once. Else passes in other orders until there are so many steps, and one pass at least.
+        """
         r, root = np.random.Generator(np.random.PCG64(seed)), np.float32(1 / math.sqrt(WIDTH))
         m, s = ({n: np.zeros_like(x) for n, x in self.w.items()} for _ in range(2))
-        losses = []
+        losses, once = [], -(-len(before) // batch)
+        steps = max(steps or 0, once) if len(before) else 0
         for t in range(1, steps + 1):
-            rows = r.integers(0, len(before), batch)
+            at = (t - 1) % once
+            order = r.permutation(len(before)) if at == 0 else order
+            rows = order[at * batch : (at + 1) * batch]
             X, Y = before[rows], after[rows]
             w = self.w
             x, q, k, v, a, o, h = self.forward(X)
@@ -165,8 +172,8 @@ class Model:
             dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
             wide = x.reshape(-1, WIDTH).T
             g |= {n: wide @ y.reshape(-1, WIDTH) for n, y in (("q", dq), ("k", dk), ("v", dv))}
-            g["p"], g["e"] = dx.sum(0), np.zeros_like(w["e"])
-            np.add.at(g["e"], X.reshape(-1), dx.reshape(-1, WIDTH))
+            places = X.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
+            g["p"], g["e"] = dx.sum(0), np.bincount(places.reshape(-1), dx.reshape(-1), w["e"].size).reshape(w["e"].shape).astype(np.float32)
             step = rate * min(1, t / 50) * (1 - t / (steps + 1))
             for n in w:
                 m[n] += 0.1 * (g[n] - m[n])
@@ -174,6 +181,15 @@ class Model:
                 w[n] = (w[n] - step * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
         return float(np.mean(losses[-max(1, steps // 10) :])) if losses else 0.0
 
+    def flat(self) -> np.ndarray:
+        """All weights in a row."""
+        return np.concatenate([x.reshape(-1) for x in self.w.values()])
+
+    def take(self, flat: np.ndarray) -> None:
+        """The weights that ``flat`` of such a model gives."""
+        cuts = np.cumsum([x.size for x in self.w.values()])[:-1]
+        self.w = {n: x.reshape(self.w[n].shape).astype(np.float32) for n, x in zip(self.w, np.split(flat, cuts), strict=True)}
+
     def logs(self, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """Natural log probability of each id, scored once: ``ids`` of all texts, an end after each."""
         classes = self.classes[ids]
@@ -206,14 +222,64 @@ class Model:
 
 def windows_of(classes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Training windows: classes before and after, -1 where a text has ended."""
-    before, after = [], []
-    for a, b in zip(firsts[:-1], firsts[1:], strict=True):
-        x = np.concatenate([[0], classes[a : b - 1]])
-        for s in range(0, b - a, CONTEXT):
-            p, q = x[s : s + CONTEXT], classes[a + s : min(b, a + s + CONTEXT)]
-            before.append(np.pad(p, (0, CONTEXT - len(p))))
-            after.append(np.pad(q, (0, CONTEXT - len(q)), constant_values=-1))
-    return np.array(before), np.array(after)
+    lengths = np.diff(firsts)
+    windows = -(-lengths // CONTEXT)
+    text = np.repeat(np.arange(len(lengths)), windows)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = (firsts[:-1][text] + number * CONTEXT)[:, None] + np.arange(CONTEXT)
+    own = at < firsts[1:][text][:, None]
+    at = np.minimum(at, len(classes) - 1)
+    previous = np.concatenate([np.zeros(1, classes.dtype), classes[:-1]])
+    previous[firsts[:-1]] = 0
+    return np.where(own, previous[at], 0).astype(classes.dtype), np.where(own, classes[at], -1).astype(classes.dtype)
+
+
+def fit(model: Model, base: DataFrame) -> tuple[float | None, int]:
+    """Fits the weights on every window of every text that is learned from; returns the mean loss of the blocks and the number of subwords.
+
+    A start is fitted on one block; from it each block, by itself, makes one pass over all windows of its texts; the
+    blocks' weights are averaged by their numbers of subwords. The work grows with the texts and is shared out by block.
+    """
+    learn = base.where("learn").select("block", "t")
+
+    def trained(model: Model, steps: int | None, rate: float):
+        def run(table: pa.Table) -> pa.Table:
+            texts, coder, found = string_array(table.sort_by("t").column("t")), encoder(), []
+            for a, b in slices(texts, 4 << 20):
+                w = Words.of(texts[a:b])
+                ids, first = w.subwords(coder)
+                sizes = np.diff(first)[w.sequence]
+                bounds = np.concatenate([[0], np.cumsum(sizes)])[w.firsts]
+                found.append(windows_of(model.classes[ids[ragged(first[w.sequence], sizes)]], bounds))
+            before, after = map(np.concatenate, zip(*found, strict=True))
+            own = copy.copy(model)
+            own.w = dict(model.w)
+            loss, n = own.train(before, after, steps, rate=rate), int((after >= 0).sum())
+            return pa.table([table.column("block")[:1], pa.array([n]), pa.array([loss * n]), pa.array([own.flat().astype(np.float64) * n], pa.list_(pa.float64()))], names=["block", "n", "loss", "w"])
+
+        return run
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, loss, total = 0, 0.0, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                w = batch.column(2)[row].values.to_numpy()
+                n, loss, total = n + batch.column(0)[row].as_py(), loss + batch.column(1)[row].as_py(), w if total is None else total + w
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([total], pa.list_(pa.float64()))], ["n", "loss", "w"])
+
+    schema = "block long, n long, loss double, w array<double>"
+    first = learn.agg(F.min("block")).first()[0]
+    if first is None:
+        return None, 0
+    start = learn.where(F.col("block") == first).groupBy("block").applyInArrow(trained(model, STEPS, RATES[0]), schema).first()
+    model.take(np.array(start.w) / start.n)
+    passed = materialise(learn.groupBy("block").applyInArrow(trained(model, None, RATES[1]), schema), "lm-weights")
+    # a row of the driver holds the sum of many blocks
+    sums = passed.select("n", "loss", "w").mapInArrow(summed, "n long, loss double, w array<double>").collect()
+    n = sum(r.n for r in sums)
+    model.take(sum(np.array(r.w) for r in sums) / n)
+    return sum(r.loss for r in sums) / n, n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +314,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, sample: int = SAMPLE) -> tuple[DataFrame, dict]:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> tuple[DataFrame, dict]:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, n_subwords, attention_score, score; and what was learned.
 
     ``attention_score`` is the log10 probability by the attention model alone; ``score`` interpolates it word by word
@@ -257,7 +323,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     Texts outside the held-out fold are learned from. Word counts: texts are dealt into blocks of about 16 MB; each block's
     distinct words (64-bit hashes) with their numbers are summed by word, and the sums go back to the blocks, so that a word
     is shuffled once for each block, not for each occurrence. Subword counts over all these texts give p(subword | class);
-    the attention weights are fitted on windows from about ``sample`` of these texts, chosen by a hash.
+    the attention weights are fitted on every window of all these texts, see ``fit``.
 
     Null texts count as empty: only the end. Null ids: learned from, not held out. Repeated rows count as often as they come.
     Empty input: empty result. Other columns are ignored.
@@ -266,7 +332,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     base = docs.select(col(id_col).alias("id"), text_column(text_col).alias("t"), F.coalesce(remainder != held, F.lit(True)).alias("learn"))
     total = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = int(total // BLOCK_BYTES) + 1
-    pick = F.xxhash64(F.lit(29), F.col("id").cast("string"), F.col("t"))
     base = base.withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("t")), F.lit(blocks)))
     found = base.repartition(blocks, "block").select("block", "t", "learn").mapInArrow(_count, "block long, key long, n long, sub boolean")
     found = materialise(found, "lm-counts")
@@ -283,20 +348,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     train_tokens, types = int(known.n or 0) + ends, int(known.v) + (ends > 0)
 
     model = Model(subs)
-    learners = base.where("learn").agg(F.count(F.lit(1))).first()[0]
-    share = min(1.0, sample / max(1, learners))
-    chosen = base.where(F.col("learn") & (F.pmod(pick, F.lit(1 << 30)) < int(share * (1 << 30))))
-    loss = None
-    # of a long text, a run of words from its hash's place: the sample stays small
-    parts = F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    place = F.pmod(pick, F.greatest(F.size("w") - 400, F.lit(1))).cast("int")
-    rows = sorted(r.t for r in chosen.withColumn("w", parts).select(F.array_join(F.slice("w", place + 1, F.lit(400)), " ").alias("t")).collect())
-    if rows:
-        coder, w = encoder(), Words.of(pa.array(rows, pa.string()))
-        ids, first = w.subwords(coder)
-        sizes = np.diff(first)[w.sequence]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])[w.firsts]
-        loss = model.train(*windows_of(model.classes[ids[ragged(first[w.sequence], sizes)]], bounds))
+    loss, fitted = fit(model, base)
 
     unseen = math.log10(1 / (train_tokens + types + 1))
     kind = dict(base.dtypes)["id"]
@@ -336,7 +388,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, n_subwords long, attention_score double, score double"
     # a block without a known word has no counts, but its texts are scored; counts without texts do not occur
     scored = base.select("block", "id", "t", "learn").groupBy("block").cogroup(words.select("block", "key", "c").groupBy("block")).applyInArrow(rate, schema)
-    return scored.withColumnRenamed("id", id_col), {"loss": loss, "train_tokens": train_tokens, "types": types, "model": model}
+    return scored.withColumnRenamed("id", id_col), {"loss": loss, "fitted": fitted, "train_tokens": train_tokens, "types": types, "model": model}
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,14 @@ def test_lm_is_causal_and_sums_to_one():
     assert m.train(before, after, steps=60, batch=8) < -a[:99].mean()
 
 
+def test_lm_weights_are_fitted_on_every_training_subword(spark, monkeypatch):
+    rows = [(i, f"word{i % 9} and text {i}", "en") for i in range(1800)] + [(5000, "long text " * 700, "en"), (5001, "long text " * 900, "en")]
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 8 << 10)  # several blocks
+    df, learned = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned["fitted"] == df.where("not held_out").agg({"n_subwords": "sum"}).first()[0]
+    assert 0 < learned["loss"] < 4
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
