@@ -20,7 +20,7 @@ from .common import col, documents, fold, materialise, raw, slices, string_array
 VOCABULARY = 50257
 END = VOCABULARY  # the end of a text, also what stands before its first subword
 SINGLE, SHARED = 224, 32  # classes of one subword each, and of the others by frequency
-WIDTH, CONTEXT, STRIDE = 16, 32, 26
+WIDTH, CONTEXT, STRIDE = 16, 32, 24
 STEPS, BATCH = 900, 96  # of the start on the first block, at least; windows of a step
 RATES = 0.02, 0.005  # of the start, and of the pass over all blocks
 BLOCK_BYTES = 16 << 20
@@ -292,15 +292,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, [len(blocks)]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             part = table.slice(a, b - a)
-            words = Words.of(string_array(part.column("t")))
-            learn = np.repeat(part.column("learn").to_numpy().astype(bool), np.diff(words.firsts))
-            n = np.bincount(words.sequence[learn], minlength=len(words.hashes) + 1)
-            ids, first = words.subwords(coder)
-            subs = np.bincount(ids, np.repeat(n, np.diff(first)), VOCABULARY + 1).astype(np.int64)
+            texts, learn = string_array(part.column("t")), part.column("learn").to_numpy().astype(bool)
+            subs, found, numbers = np.zeros(VOCABULARY + 1, np.int64), [], []
+            for x, y in slices(texts, 4 << 20):  # the words of a whole block at a time would take much memory
+                words = Words.of(texts[x:y])
+                n = np.bincount(words.sequence[np.repeat(learn[x:y], np.diff(words.firsts))], minlength=len(words.hashes) + 1)
+                ids, first = words.subwords(coder)
+                subs += np.bincount(ids, np.repeat(n, np.diff(first)), VOCABULARY + 1).astype(np.int64)
+                found.append(words.hashes)
+                numbers.append(n[:-1])
+            hashes, inverse = np.unique(np.concatenate(found), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate(numbers), len(hashes)).astype(np.int64)
             used = np.flatnonzero(subs)
-            keys = np.concatenate([words.hashes.view(np.int64), used])
-            numbers = np.concatenate([n[:-1], subs[used]])
-            sub = np.arange(len(keys)) >= len(words.hashes)
+            keys, numbers = np.concatenate([hashes.view(np.int64), used]), np.concatenate([n, subs[used]])
+            sub = np.arange(len(keys)) >= len(hashes)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), blocks[a])), pa.array(keys), pa.array(numbers), pa.array(sub)], ["block", "key", "n", "sub"])
 
     size = 0

@@ -150,6 +150,10 @@ def test_lm_weights_are_fitted_on_every_training_subword(spark, monkeypatch):
     assert 0 < learned["loss"] < 4
 
 
+def test_lm_windows_overlap_by_a_quarter():
+    assert lm_scoring.CONTEXT - lm_scoring.STRIDE >= lm_scoring.CONTEXT // 4
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
