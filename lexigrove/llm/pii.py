@@ -14,7 +14,24 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]{4}){2,7}(?:[\x20-]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Characters of an IBAN by country code, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Groups of four and a shorter last one up to the country's length; a code that is not registered takes all that follows."""
+    codes = {n: "|".join(c.split()) for n, c in IBAN_LENGTHS.items()}
+    known = [rf"(?:{c})[0-9]{{2}}(?:[\x20-]?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"[\x20-]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in codes.items()]
+    other = rf"(?!{'|'.join(codes.values())})[A-Z]{{2}}[0-9]{{2}}(?:[\x20-]?[A-Z0-9]{{4}}){{2,7}}(?:[\x20-]?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
+IBAN = _iban()
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 #: kind: pattern and the cheap text that every match contains, in the order of the output.
@@ -109,7 +126,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per input row: doc_id and ``found``, an array of (kind, start, end, score, match).
 
     Whole texts, null as empty; kinds in the order of ``KINDS``, then by start. Base kinds (email, ip, card, phone) are
-    reported whatever their score; IBANs must pass modulo 97, social security numbers need a context word nearby.
+    reported whatever their score; IBANs have their country's length and must pass modulo 97, social security numbers need a context word nearby.
     Repeated rows give repeated results; other columns are ignored. One map over the rows, no shuffle.
     """
     rows = docs.select(col(id_col).alias("id"), text_column(text_col).alias("t"))

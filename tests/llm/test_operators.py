@@ -392,3 +392,14 @@ def test_pipeline_stages(spark, messy, empty, tmp_path):
     assert docs.count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_pii_ibans_end_at_their_countries_length(spark):
+    ibans = ["AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "DE89370400440532013000", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "GB82-WEST-1234-5698-7654-32"]
+    rows = [(f"{before}{x}{after}", len(before), x) for x in ibans for before in ("", "to 😀 ") for after in ("", " BIC RZBAATWW", " EUR 50", " 5002 12", ".")]
+    df = pii.find_pii(spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "doc_id int, text string"))
+    for r in df.collect():
+        found = [(x.start, x.end, x.match) for x in r.found if x.kind == "iban"]
+        assert found == [(rows[r.doc_id][1], rows[r.doc_id][1] + len(rows[r.doc_id][2]), rows[r.doc_id][2])], rows[r.doc_id]
+    wrong = spark.createDataFrame([(1, "AT61 1904 3002 3457 3202 BIC"), (2, "XAT61 1904 3002 3457 3201"), (3, "AT61 1904 3002 3457 3201A")], "doc_id int, text string")
+    assert not [x for r in pii.find_pii(wrong).collect() for x in r.found if x.kind == "iban"]
