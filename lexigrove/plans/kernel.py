@@ -372,9 +372,11 @@ class Parser:
         if e_inner.op not in ("text", "icase", "regex"):
             raise ValueError("lookbehind takes a literal or a pattern")
         rx = re.compile(f"(?:{e_inner.value if e_inner.op == 'regex' else re.escape(e_inner.value)})\\Z", re.I if e_inner.op == "icase" else 0)
+        size = None if e_inner.op == "regex" else len(e_inner.value)
 
         def run(st: State, pos: int) -> Result:
-            found = any(rx.match(st.text, s, pos) for s in range(pos, max(-1, pos - 1000), -1))
+            # a match that ends at pos may begin anywhere before; a literal's length is known
+            found = (rx.search(st.text, 0, pos) if size is None else pos >= size and rx.match(st.text, pos - size, pos)) not in (None, False)
             return ([], pos) if found == wanted else None
 
         return run

@@ -159,3 +159,12 @@ def test_ini_and_csv_trees():
     assert [(n.name, n.content) for n in tree.walk() if n.name in ("key", "value", "name")] == [("key", "a"), ("value", "1"), ("name", "s"), ("key", "b"), ("value", "x y")]
     tree, _, _ = kernel.Parser(library.load("csv")).parse('a,"b",\n1,2,3')
     assert [[c.content for c in r.children] for r in tree.children if r.name == "row"] == [["a", "b", ""], ["1", "2", "3"]]
+
+
+@pytest.mark.parametrize("n", [3, 999, 1000, 5000])
+def test_lookbehind_reaches_the_start_of_the_text(n):
+    text = "q" + "b" * n + "y"
+    seen = ebnf.read("a = /qb*/ <-&/qb*/ c\nc = `y`")
+    unseen = ebnf.read("a = /qb*/ <-!/qb*/ c\nc = `y`")
+    literal = ebnf.read(f"a = /qb*/ <-&`{text[:-1]}` c\nc = `y`")
+    assert [not kernel.Parser(g).parse(text)[1] for g in (seen, unseen, literal)] == [True, False, True]
