@@ -15,6 +15,7 @@ from .common import col, documents, fold, numbered, string_array, text_column
 SAMPLE_DOCS = 64  # documents of a language that its dictionary is made of, at most
 DICTIONARY_BYTES = 32 << 10
 SEGMENT = 4 << 10  # bytes of text compressed at a time, so that the dictionary counts all through a long text
+PIECES = 4  # of a text that is longer than its part of the dictionary
 LEVEL = 6
 NARROW = 0.005  # of the second smallest size
 #: ASCII other than a-z becomes a space.
@@ -26,11 +27,21 @@ def letters(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(LETTERS).split())
 
 
+def spread(data: bytes, most: int, pieces: int) -> bytes:
+    """At most so many bytes: all, or evenly spaced pieces of the same size from the start to the end."""
+    if len(data) <= most:
+        return data
+    pieces = max(1, min(pieces, (most + 1) // 2))
+    size = (most + 1) // pieces - 1
+    return b" ".join(data[a : a + size] for a in ((len(data) - size) * k // max(1, pieces - 1) for k in range(pieces)))
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Raw-content dictionaries by language from at most ``sample`` labelled documents of each outside the held-out fold.
 
     The documents with the smallest hashes of their ids are chosen, in two steps so that a frequent language never meets in
-    one task; their texts give equal parts of the dictionary. Rows with a null id, lang or text do not teach.
+    one task; their texts give equal parts of the dictionary, at most 32 KB together: of a text with more letters than its
+    part, ``PIECES`` evenly spaced pieces of the whole text. Rows with a null id, lang or text do not teach.
     """
     rows = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), fold(id_col, folds).alias("fold"), F.xxhash64(col(id_col).cast("string")).alias("h"))
     rows = rows.where((F.col("fold") != held) & F.col("lang").isNotNull())
@@ -45,13 +56,21 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     texts = docs.where(col(id_col).isin(wanted)).select(col(lang_col).cast("string").alias("lang"), col(id_col).alias("id"), text_column(text_col).alias("t"), fold(id_col, folds).alias("fold"))
     share = DICTIONARY_BYTES // max(1, sample)
     found: dict[str, list[tuple]] = {}
-    for r in texts.where("lang is not null").select("lang", "id", F.substring("t", 1, DICTIONARY_BYTES).alias("t")).distinct().toLocalIterator():
-        found.setdefault(r.lang, []).append((str(r.id), r.t))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a whole text is read, the driver gets no more of it than a dictionary holds
+        for batch in batches:
+            parts = [spread(letters(t), DICTIONARY_BYTES, SAMPLE_DOCS) for t in string_array(batch.column(2)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], ["lang", "id", "t"])
+
+    whole = texts.where("lang is not null").select("lang", F.col("id").cast("string").alias("id"), "t")
+    for r in whole.mapInArrow(reduced, "lang string, id string, t binary").distinct().toLocalIterator():
+        found.setdefault(r.lang, []).append((r.id, bytes(r.t)))
     out = {}
     for lang, parts in found.items():
         parts.sort()
         each = max(share, DICTIONARY_BYTES // len(parts))
-        out[lang] = b" ".join(letters(t)[:each] for _, t in parts)[-DICTIONARY_BYTES:]
+        out[lang] = b" ".join(spread(t, each, PIECES) for _, t in parts)[-DICTIONARY_BYTES:]
     return out
 
 

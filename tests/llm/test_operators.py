@@ -403,3 +403,12 @@ def test_pii_ibans_end_at_their_countries_length(spark):
         assert found == [(rows[r.doc_id][1], rows[r.doc_id][1] + len(rows[r.doc_id][2]), rows[r.doc_id][2])], rows[r.doc_id]
     wrong = spark.createDataFrame([(1, "AT61 1904 3002 3457 3202 BIC"), (2, "XAT61 1904 3002 3457 3201"), (3, "AT61 1904 3002 3457 3201A")], "doc_id int, text string")
     assert not [x for r in pii.find_pii(wrong).collect() for x in r.found if x.kind == "iban"]
+
+
+def test_language_dictionaries_hold_more_than_the_texts_heads(spark):
+    head, middle, tail = "licensed under these terms " * 3000, "palabra media " * 3000, "el final del texto " * 3000
+    rows = [(k, head + middle + tail, "es") for k in range(20)] + [(k, "1234567890 " * 5000 + middle, "digits") for k in range(20, 40)]
+    made = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(w in made["es"] for w in (b"licensed", b"palabra", b"el final del texto")) and b"palabra media" in made["digits"]
+    assert all(len(d) <= language_id.DICTIONARY_BYTES for d in made.values())
+    assert language_id.spread(b"abcdefghij", 10, 3) == b"abcdefghij" and language_id.spread(b"abcdefghijk", 8, 3) == b"ab ef jk"
