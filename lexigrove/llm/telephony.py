@@ -149,21 +149,33 @@ def read_wave(data: bytes) -> tuple[int, int, int, memoryview]:
 
 def decode(data: bytes) -> tuple[np.ndarray, int]:
     """(16-bit samples, rate) of a mono WAVE file in PCM, mu-law, A-law or IMA ADPCM."""
+    return decode_all(data)[:2]
+
+
+def decode_all(data: bytes) -> tuple[np.ndarray, int, str | None]:
+    """As ``decode``, and which last bytes are too few for a sample or for a block's header; a shorter last block is decoded."""
     tag, rate, block, stored = read_wave(data)
     raw = np.frombuffer(stored, np.uint8)
+    lost = lambda n: f"{n} bytes at the end are no sample" if n else None
     if tag == MU_LAW:
-        return MU[raw], rate
+        return MU[raw], rate, None
     if tag == A_LAW:
-        return ALAW[raw], rate
+        return ALAW[raw], rate, None
     if tag == PCM:
-        return raw[: len(raw) // 2 * 2].view("<i2").astype(np.int16), rate
+        return raw[: len(raw) // 2 * 2].view("<i2").astype(np.int16), rate, lost(len(raw) % 2)
     if tag == IMA_ADPCM:
-        return decode_adpcm(raw[: len(raw) // block * block].reshape(-1, block)).reshape(-1), rate
+        if block < 4:
+            raise ValueError(f"blocks of {block} bytes have no header")
+        whole = len(raw) // block * block
+        parts, rest = [decode_adpcm(raw[:whole].reshape(-1, block)).reshape(-1)], len(raw) - whole
+        if rest >= 4:  # the last block may be shorter
+            parts.append(decode_adpcm(raw[whole:].reshape(1, -1)).reshape(-1))
+        return np.concatenate(parts), rate, lost(rest if rest < 4 else 0)
     raise ValueError(f"format {tag} is not known")
 
 
 def decode_audio(rows: DataFrame, id_col: str, media_col: str, to: int = OUT_RATE) -> DataFrame:
-    """One row per input row: id, pcm (resampled 16-bit little-endian samples), rate, error (null if it could be decoded)."""
+    """One row per input row: id, pcm (resampled 16-bit little-endian samples), rate, error (null if all could be decoded; with pcm, what is left out of it)."""
     some = rows.select(col(id_col).alias("id"), col(media_col).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +184,9 @@ def decode_audio(rows: DataFrame, id_col: str, media_col: str, to: int = OUT_RAT
                 pcm, error = [], []
                 for media in batch.column(1)[at : at + 64]:
                     try:
-                        samples, rate = decode(media.as_py() or b"")
+                        samples, rate, lost = decode_all(media.as_py() or b"")
                         pcm.append(resample(samples, rate, to).astype("<i2").tobytes())
-                        error.append(None)
+                        error.append(lost)
                     except ValueError as e:
                         pcm.append(None)
                         error.append(str(e))

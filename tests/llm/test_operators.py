@@ -412,3 +412,14 @@ def test_language_dictionaries_hold_more_than_the_texts_heads(spark):
     assert all(w in made["es"] for w in (b"licensed", b"palabra", b"el final del texto")) and b"palabra media" in made["digits"]
     assert all(len(d) <= language_id.DICTIONARY_BYTES for d in made.values())
     assert language_id.spread(b"abcdefghij", 10, 3) == b"abcdefghij" and language_id.spread(b"abcdefghijk", 8, 3) == b"ab ef jk"
+
+
+def test_audio_has_a_shorter_last_block(spark):
+    raw = np.random.default_rng(1).integers(0, 256, 64 * 3 + 20).astype(np.uint8)
+    raw[2::64], raw[3::64] = 5, 0  # the headers' step index
+    rest = lambda n: telephony.decode(telephony.wave(raw[: 64 * 3 + n].tobytes(), telephony.IMA_ADPCM, block=64))[0]
+    assert len(rest(0)) == 3 * 121 and len(rest(4)) == 3 * 121 + 1 and len(rest(20)) == 3 * 121 + 33
+    assert np.array_equal(rest(20)[-33:], telephony.decode_adpcm(raw[None, 192:])[0])
+    files = [telephony.wave(raw[: 64 + n].tobytes(), telephony.IMA_ADPCM, block=64) for n in (0, 20, 3)] + [telephony.wave(bytes(n), telephony.PCM) for n in (6, 7)]
+    df = telephony.decode_audio(spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(files)], "k int, m binary"), "k", "m")
+    assert [(r.pcm is not None, r.error) for r in df.orderBy("k").collect()] == [(True, None), (True, None), (True, "3 bytes at the end are no sample"), (True, None), (True, "1 bytes at the end are no sample")]
