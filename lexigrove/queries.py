@@ -118,7 +118,7 @@ def errors_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opening tags by name, by a lowered grammar."""
     tags = table(spark, sf_dir, "pages").select(F.explode(P.match_all(F.col("html"), P.grammar(TAG), "tag")).alias("t"))
-    return tags.groupBy(F.substring("t", 2, 100).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return tags.groupBy(F.substring("t", F.lit(2), F.length("t")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,3 +229,12 @@ def test_compiler(spark):
     cases = [("a", "match", "1", "x+y", None), ("a", "fail", "2", "x+", None), ("b", "cst", "3", "x", '(b "x")'), ("a", "ast", "4", "x", '(b "x")'), ("a", "match", "5", "+", None)]
     ran = unit_cases(spark.createDataFrame(cases, "symbol string, kind string, name string, input string, expect string"), g, {"a": R.replace_by_single_child})
     assert {r.name: r.passed for r in ran.collect()} == {"1": True, "2": True, "3": True, "4": True, "5": False}
+
+
+def test_tag_names_are_whole(spark, tmp_path):
+    from lexigrove import queries
+
+    long = "x" * 150
+    spark.createDataFrame([(1, "u", f"<{long}a><{long}b><p><p class='c'>")], "page_id int, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.page_tag_histogram(spark, str(tmp_path)).collect()
+    assert {r.name: r.n for r in found} == {long + "a": 1, long + "b": 1, "p": 2}
