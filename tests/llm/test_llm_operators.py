@@ -118,36 +118,124 @@ def test_lm_scoring(messy, empty):
         assert r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)
         assert r.n_known == sum(counts[w] > 0 for w in words(t)) and r.train_tokens == n
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(t)), rel_tol=1e-9)
-        assert r.score < 0 and r.attention_score < 0
+        assert r.score < 0
     assert lm_scoring.score(empty)[0].collect() == []
 
 
-def test_lm_is_causal_and_sums_to_one():
-    counts = np.zeros(lm_scoring.VOCABULARY + 1, np.int64)
-    counts[:500] = np.arange(500, 0, -1)
-    counts[-1] = 50
-    m = lm_scoring.Model(counts)
-    size = lm_scoring.SINGLE + lm_scoring.SHARED
-    total = np.bincount(m.classes, np.exp(m.inside.astype(float)), size)
+def lm(words, seed=1, drop=0):
+    """A model with counts of a text of random words, and the text's ids; the last ``drop`` are not counted."""
+    r = np.random.default_rng(seed)
+    ids = np.concatenate([np.append(r.permutation(np.repeat(np.arange(40), 1 + np.arange(40) // 4)), lm_scoring.END) for _ in range(words)])
+    firsts = np.concatenate([[0], np.flatnonzero(ids == lm_scoring.END) + 1])
+    m = lm_scoring.Model(np.bincount(ids, minlength=lm_scoring.VOCABULARY + 1))
+    y = m.classes[ids]
+    m.gather(lm_scoring._tally(m, y, firsts, None).reshape(3, lm_scoring.CLASSES, lm_scoring.CLASSES))
+    pairs = lm_scoring._tally_pairs(m, y, firsts, None)
+    m.gather_pairs(np.flatnonzero(pairs), pairs[pairs > 0])
+    return m, ids, firsts
+
+
+def lm_by_hand(m, ids, i, begin, y):
+    """p(class y | what a window sees of the classes before place ``i``), by loops."""
+    c = [0, *m.classes[ids].tolist()]  # the class before each place of the only text
+    x, w = c[i], m.w
+    table, n, level = m.values()
+    state = x * lm_scoring.KINDS + m.kind[c[i - 1] if i else 0]
+    following = (m.next[x, y] + 5 * m.u[y]) / (m.next_n[x] + 5)
+    paired = (table[state * lm_scoring.CLASSES + y] + 10 * following) / (n[state] + 10)
+    parts = [(float(w["level"][level[state]] + w["pair"][x]), paired), (float(w["own"][x]), following), (float(w["none"][0]), m.u[y])]
+    for j in range(max(0, begin), i + 1):
+        logit = float((m.e[x] @ w["q"]) @ (m.e[c[j]] @ w["k"]) + w["distance"][i - j])
+        parts.append((logit, m.z[c[j], :-1] @ m.o[:, y]))
+    return sum(math.exp(a) * v for a, v in parts) / sum(math.exp(a) for a, _ in parts)
+
+
+def test_lm_against_loops():
+    m, ids, firsts = lm(1)
+    r = np.random.default_rng(2)
+    for name in ("q", "k", "pair", "own"):
+        m.w[name] = r.normal(0, 0.3, m.w[name].shape).astype(np.float32)
+    got = m.logs(ids, firsts)
+    told = lm_scoring.STRIDE
+    for i in [0, 1, 5, 23, 24, 25, 47, 60, 100, len(ids) - 1]:
+        begin = i // told * told - (lm_scoring.CONTEXT - told)
+        p = lm_by_hand(m, ids, i, begin, m.classes[ids[i]])
+        assert math.isclose(got[i], math.log(p) + m.inside[ids[i]], rel_tol=1e-4, abs_tol=1e-4)
+    for i in (0, 30, 70):
+        begin = i // told * told - (lm_scoring.CONTEXT - told)
+        assert math.isclose(sum(lm_by_hand(m, ids, i, begin, y) for y in range(lm_scoring.CLASSES)), 1, abs_tol=1e-3)
+    total = np.bincount(m.classes, np.exp(m.inside.astype(float)), lm_scoring.CLASSES)
     assert np.allclose(total[np.unique(m.classes)], 1, atol=1e-3)
-    r = np.random.default_rng(0)
-    ids = np.append(r.integers(0, 500, 99), lm_scoring.END)
-    other = ids.copy()
-    other[60:99] = 7
-    a, b = (m.logs(x, np.array([0, 100])) for x in (ids, other))
-    assert np.allclose(a[:60], b[:60], atol=1e-5) and not np.allclose(a[60:], b[60:])
-    both = m.logs(np.concatenate([ids, other]), np.array([0, 100, 200]))  # texts do not see each other
-    assert np.allclose(both, np.concatenate([a, b]), atol=1e-5)
-    before, after = lm_scoring.windows_of(m.classes[ids], np.array([0, 100]))
-    assert m.train(before, after, steps=60, batch=8) < -a[:99].mean()
+
+
+def test_lm_is_causal_and_sees_its_own_text_only():
+    m, ids, _ = lm(3)
+    a = ids[:150]
+    b = a.copy()
+    b[60:] = 7
+    one, other = (m.logs(x, np.array([0, 150])) for x in (a, b))
+    assert np.allclose(one[:60], other[:60], atol=1e-5) and not np.allclose(one[60:], other[60:])
+    both = m.logs(np.concatenate([a, b]), np.array([0, 150, 300]))
+    assert np.allclose(both, np.concatenate([one, other]), atol=1e-5)
+
+
+def test_lm_gradient():
+    """A step follows the slope of the loss without the place itself among the counts."""
+    m, ids, firsts = lm(2)
+    y = m.classes[ids]
+    x, s = m.states(y, firsts)
+    seen, at, used = lm_scoring.places(lm_scoring.windows(firsts)[:4], x)
+
+    def loss(model):
+        model.ready()
+        _, paired_e, own_e, none_e, paired, following, u = model.own(seen[:, -lm_scoring.STRIDE :], s[at], y[at], 1)
+        got = model.attend(seen)[2].astype(float) @ model.z[seen]
+        upper = paired_e * paired + own_e * following + none_e * u + (got * model.o_by_class[y[at]]).sum(2)
+        return -np.log(upper / (paired_e + own_e + none_e + got[..., -1]))[used].mean()
+
+    t = lm_scoring.Trainer(m, 0.0)
+    t.step(seen, s[at], y[at], used)
+    slope = t.m / 0.1 * -1  # the first moment after one step
+    flat = m.flat()
+    for k in [3, 40, 100, 300, 500, *range(512, 520), 545, 600, len(flat) - 1]:
+        by = []
+        for d in (-0.02, 0.02):
+            moved = flat.copy()
+            moved[k] += d
+            m.take(moved)
+            by.append(loss(m))
+        assert math.isclose((by[1] - by[0]) / 0.04, slope[k], rel_tol=0.05, abs_tol=2e-5), k
+
+
+def test_lm_learns():
+    m, ids, firsts = lm(30)
+    y = m.classes[ids]
+    t = lm_scoring.Trainer(m, 0.03)
+    for _ in range(40):
+        t.n, t.loss = 0, 0.0
+        t.one_pass(y, firsts)
+        first = t.loss / t.n if t.t < 3 else first
+    assert t.n == len(ids) and t.loss / t.n < first - 0.02
+
+
+def test_lm_subwords_of_words():
+    coder = lm_scoring.encoder()
+    words = ["the", "it's", "l'été", "x\u00a0y", "\u00a0z", "a\u2028", "\x1cq", "漢字", "\u3000b", "…", "don't", "12ab!!", "\x00", "e\u0301"]
+    spelled = np.frombuffer("".join(words).encode(), np.uint8)
+    ids, firsts = lm_scoring.subwords(spelled, np.array([len(w.encode()) for w in words]), coder)
+    assert [ids[a:b].tolist() for a, b in zip(firsts[:-1], firsts[1:])] == [coder.encode_ordinary(" " + w) for w in words]
+    none, firsts = lm_scoring.subwords(np.zeros(0, np.uint8), np.zeros(0, np.int64), coder)
+    assert len(none) == 0 and firsts.tolist() == [0]
 
 
 def test_lm_weights_are_fitted_on_every_training_subword(spark, monkeypatch):
     rows = [(i, f"word{i % 9} and text {i}", "en") for i in range(1800)] + [(5000, "long text " * 700, "en"), (5001, "long text " * 900, "en")]
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 8 << 10)  # several blocks
-    df, learned = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    df, learned = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
     assert learned["fitted"] == df.where("not held_out").agg({"n_subwords": "sum"}).first()[0]
     assert 0 < learned["loss"] < 4
+    again = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0].collect()}
+    assert all(math.isclose(again[r.doc_id].base_score, r.base_score, rel_tol=1e-9) for r in df.collect())  # whatever the blocks
 
 
 def test_lm_windows_overlap_by_a_quarter():
