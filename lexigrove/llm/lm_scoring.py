@@ -585,7 +585,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     # the end is a token, too
     train_tokens, types = int(known.n or 0) + ends, int(known.v) + (ends > 0)
     blocks = lists.count()
-    tasks = max(2 * spark.sparkContext.defaultParallelism, blocks // 8)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, blocks // 4)
     model, loss, fitted = fit(coded, subs, tasks)
 
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
