@@ -24,12 +24,14 @@ class Abort(Exception):
 
 
 class State:
-    __slots__ = ("text", "memo", "growing", "stacks", "log", "errors", "far", "far_symbol", "trace", "bypass")
+    __slots__ = ("text", "memo", "growing", "stacks", "log", "errors", "far", "far_symbol", "trace", "uses", "loose", "version")
 
     def __init__(self, text: str, trace: bool):
         self.text, self.memo, self.growing = text, {}, {}
         self.stacks, self.log, self.errors = {}, [], {}
-        self.far, self.far_symbol, self.trace, self.bypass = 0, "", [] if trace else None, 0
+        self.far, self.far_symbol, self.trace = 0, "", [] if trace else None
+        # while seeds grow: which of them each open symbol has used, results that hold for seeds of one version only
+        self.uses, self.loose, self.version = [], {}, 0
 
     def error(self, pos: int, code: int, message: str, length: int = 1) -> None:
         self.errors.setdefault((pos, code), (pos, length, code, message))
@@ -78,38 +80,68 @@ class Parser:
                 return None
             return self.wrap(name, got[0], pos), got[1]
 
+        def tracked(st: State, pos: int, run: Callable[[State, int], Result]) -> Result:
+            """Runs with seeds growing around: the result is kept for good if it used none of them, else for their versions."""
+            at = (key, pos)
+            if at in st.loose:
+                got, used = st.loose[at]
+                if all(u in st.growing and st.growing[u][1] == v for u, v in used.items()):
+                    if st.uses:
+                        st.uses[-1].update(used)
+                    return got
+            st.uses.append({})
+            try:
+                got = run(st, pos)
+            finally:
+                used = st.uses.pop()
+                used.pop(at, None)
+                if st.uses:
+                    st.uses[-1].update(used)
+            if used:
+                st.loose[at] = got, used
+            else:
+                st.memo[at] = got
+            return got
+
         def once(st: State, pos: int) -> Result:
             if not plain:
                 return body(st, pos)
             at = (key, pos)
-            if at in st.memo and not st.bypass:
+            if at in st.memo:
                 return st.memo[at]
-            got = body(st, pos)
-            if not st.bypass:
-                st.memo[at] = got
+            if st.growing:
+                return tracked(st, pos, body)
+            got = st.memo[at] = body(st, pos)
             return got
 
-        def grow(st: State, pos: int) -> Result:
+        def rounds(st: State, pos: int) -> Result:
             """Seed and grow: the symbol's own result at this place is what the last round found."""
-            at = (key, pos)
-            if at in st.growing:
-                return st.growing[at]
-            if at in st.memo and not st.bypass:
-                return st.memo[at]
-            st.growing[at], best = None, None
-            st.bypass += 1  # results in between depend on the seed
+            at, best = (key, pos), None
+            st.version += 1
+            st.growing[at] = None, st.version
             try:
                 while True:
                     got = body(st, pos)
                     if got is None or (best is not None and got[1] <= best[1]):
-                        break
-                    best = st.growing[at] = got
+                        return best
+                    best = got
+                    st.version += 1
+                    st.growing[at] = best, st.version
             finally:
-                st.bypass -= 1
                 del st.growing[at]
-            if not st.bypass:
-                st.memo[at] = best
-            return best
+
+        def grow(st: State, pos: int) -> Result:
+            at = (key, pos)
+            if at in st.growing:
+                got, version = st.growing[at]
+                if st.uses:
+                    st.uses[-1][at] = version
+                return got
+            if not plain:
+                return rounds(st, pos)
+            if at in st.memo:
+                return st.memo[at]
+            return tracked(st, pos, rounds)
 
         return grow if name in self.recursive else once
 

@@ -168,3 +168,17 @@ def test_lookbehind_reaches_the_start_of_the_text(n):
     unseen = ebnf.read("a = /qb*/ <-!/qb*/ c\nc = `y`")
     literal = ebnf.read(f"a = /qb*/ <-&`{text[:-1]}` c\nc = `y`")
     assert [not kernel.Parser(g).parse(text)[1] for g in (seen, unseen, literal)] == [True, False, True]
+
+
+def test_left_recursion_is_linear_in_the_nesting():
+    import time
+
+    from lexigrove.plans.kernel import deep
+    from lexigrove.queries import SUM
+
+    p = kernel.Parser(ebnf.read(SUM))
+    for depth in (1, 7, 200):
+        began = time.process_time()
+        root, errors, _ = deep(lambda depth=depth: p.parse("(" * depth + "1-2*3" + ")" * depth + "-4*(5+6)"))
+        assert not errors and root.content == "(" * depth + "1-2*3" + ")" * depth + "-4*(5+6)"
+        assert time.process_time() - began < 5
