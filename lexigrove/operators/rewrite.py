@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.serde import nodes_of, rows_array
+from ..sources.serde import WRITERS, nodes_of, rows_array
 from ..tree import ERROR_TYPE, TREE_TYPE, Node, encode
 
 Path = list[Node]
@@ -172,9 +172,28 @@ def traverse_locally(table: dict) -> Step:
 # -- steps
 
 
+def update_attr(node: Node, *others: Node) -> None:
+    """Attributes of nodes that will go are added to ``node``; ValueError if both have different values of one."""
+    for other in others:
+        if other is not node:
+            for k, v in other.attrs.items():
+                if node.attrs.get(k, v) != v:
+                    raise ValueError(f"{node.name} and {other.name} have different values of {k}: {node.attrs[k]!r}, {v!r}")
+                node.attrs = node.attrs | {k: v}
+
+
+def update_attr_unless(node: Node, *others: Node, exclude: Condition) -> None:
+    """``update_attr`` from those that ``exclude`` does not hold for."""
+    update_attr(node, *(o for o in others if not exclude([o])))
+
+
+def swap_attributes(a: Node, b: Node) -> None:
+    a.attrs, b.attrs = b.attrs, a.attrs
+
+
 def _take(node: Node, other: Node) -> None:
     node.result = other.result
-    node.attrs = other.attrs | node.attrs
+    update_attr(node, other)
 
 
 def replace_by_single_child(p: Path) -> None:
@@ -240,7 +259,7 @@ def flatten(c: Condition = is_anonymous, recursive: bool = True) -> Step:
         for child in p[-1].children:
             if child.children is not None and c([*p, child]):
                 out += lifted([*p, child]) if recursive else child.children
-                p[-1].attrs = p[-1].attrs | child.attrs
+                update_attr(p[-1], child)
             else:
                 out.append(child)
         return out
@@ -262,6 +281,44 @@ def merge_treetops(p: Path) -> None:
         collapse(p)
 
 
+def fuse_anonymous_leaves(nodes: list[Node]) -> list[Node]:
+    """Neighbouring anonymous leaves become one, with the first one's name."""
+    out: list[Node] = []
+    for n in nodes:
+        if out and n.anonymous and n.children is None and out[-1].anonymous and out[-1].children is None:
+            out[-1] = Node(out[-1].name, out[-1].text + n.text, out[-1].attrs, out[-1].pos)
+        else:
+            out.append(n)
+    return out
+
+
+def fuse(nodes: list[Node], swallow: Condition = never) -> str | list[Node]:
+    """The common result of several nodes: their texts joined if all are leaves, else their children strung together.
+
+    Nodes for which ``swallow`` holds are taken as they are.
+    """
+    kept = [bool(swallow([n])) for n in nodes]
+    if not any(kept) and all(n.children is None for n in nodes):
+        return "".join(n.text for n in nodes)
+    parts = [[n] if k else n.children if n.children is not None else [Node(":Text", n.text, pos=n.pos)] if n.text else [] for n, k in zip(nodes, kept, strict=True)]
+    return fuse_anonymous_leaves([x for part in parts for x in part])
+
+
+def merge_results(node: Node, nodes: list[Node]) -> bool:
+    """Results of nodes that are all leaves, or all branches, merged into ``node``; False if they are mixed."""
+    if len({n.children is None for n in nodes}) > 1:
+        return False
+    node.result = fuse(nodes)
+    update_attr(node, *nodes)
+    return True
+
+
+def merge_leaves(p: Path) -> None:
+    """Neighbouring anonymous leaves among the children become one."""
+    if p[-1].children:
+        p[-1].result = fuse_anonymous_leaves(p[-1].children)
+
+
 def join_content(run: list[Node]) -> str:
     return "".join(n.content for n in run)
 
@@ -307,7 +364,9 @@ def merge_adjacent(c: Condition, preferred: str = "") -> Step:
             return run[0]
         names = [n.name for n in run]
         name = preferred if preferred in names else names[0]
-        attrs = {k: v for n in reversed(run) for k, v in n.attrs.items()}
+        whole = Node(name)
+        update_attr(whole, *run)
+        attrs = whole.attrs
         if all(n.children is None for n in run):
             return Node(name, join_content(run), attrs, run[0].pos)
         parts = [x for n in run for x in (n.children if n.children is not None else [Node(":Text", n.text, pos=n.pos)] if n.text else [])]
@@ -344,22 +403,40 @@ def merge_connected(content: Condition, delimiter: Condition, content_name: str
     return step
 
 
-def move_fringes(c: Condition, side: str = "both") -> Step:
-    """Matching children at the node's edges move to its parent."""
+def move_fringes(c: Condition, side: str = "both", merge: bool = True) -> Step:
+    """Matching children at the node's edges move to its parent.
+
+    With ``merge``, what has moved is merged with the neighbour in the parent that matches as well; leaves that are merged
+    keep the name of the first.
+    """
+
+    def joined(nodes: list[Node], up: Path) -> list[Node]:
+        out: list[Node] = []
+        for n in nodes:
+            if merge and out and c([*up, n]) and c([*up, out[-1]]) and merge_results(whole := Node(out[-1].name, pos=out[-1].pos), [out[-1], n]):
+                out[-1] = whole
+            else:
+                out.append(n)
+        return out
 
     def step(p: Path) -> None:
         n = p[-1]
         if len(p) < 2 or not n.children:
             return
         a, b = 0, len(n.children)
-        while side in ("both", "left") and a < b and c([*p, n.children[a]]):
+        while a < b and c([*p, n.children[a]]):
             a += 1
-        while side in ("both", "right") and b > a and c([*p, n.children[b - 1]]):
+        while b > a and c([*p, n.children[b - 1]]):
             b -= 1
-        k = next(i for i, x in enumerate(p[-2].children) if x is n)
+        a, b = a if side != "right" else 0, b if side != "left" else len(n.children)
+        up = p[-2].children
+        k = next(i for i, x in enumerate(up) if x is n)
         before, after = n.children[:a], n.children[b:]
+        # only what stands next to the node can meet what has moved
+        left = joined([*up[k - 1 : k], *before], p[:-1]) if before else up[max(0, k - 1) : k]
+        right = joined([*after, *up[k + 1 : k + 2]], p[:-1]) if after else up[k + 1 : k + 2]
         n.result = n.children[a:b]
-        p[-2].result = p[-2].children[:k] + before + [n] + after + p[-2].children[k + 1 :]
+        p[-2].result = up[: max(0, k - 1)] + left + [n] + right + up[k + 2 :]
 
     return step
 
@@ -389,14 +466,16 @@ def left_associative(p: Path) -> None:
 
 
 def lean_left(*operators: str) -> Step:
-    """A right-leaning chain (op a (op b c)) becomes (op (op a b) c) as long as the right child is one of the operators."""
+    """A right-leaning chain (op1 a (op2 b c)) becomes (op2 (op1 a b) c), again in the new left node: attributes stay with their operator."""
 
     def step(p: Path) -> None:
         n = p[-1]
-        while n.name in operators and n.children and len(n.children) == 2 and n.children[1].name in operators and n.children[1].children and len(n.children[1].children) == 2:
-            left, right = n.children
-            n.name, right.name = right.name, n.name
-            n.result = [Node(right.name, [left, right.children[0]], pos=left.pos), right.children[1]]
+        while n.name in operators and n.children and len(n.children) == 2 and (right := n.children[1]).name in operators and right.children and len(right.children) == 2:
+            left, (b, c) = n.children[0], right.children
+            inner = Node(n.name, [left, b], n.attrs, left.pos)
+            n.name, n.attrs = right.name, right.attrs
+            n.result = [inner, c]
+            n = inner
 
     return step
 
@@ -526,11 +605,29 @@ def del_attributes(*names: str) -> Step:
     return step
 
 
-def insert(position: int | Callable[[Path], Iterable[int]], make: Callable[[], Node]) -> Step:
+def node_maker(name: str, result: str | Iterable[Callable[[], Node]] = "", attrs: dict[str, str] | None = None) -> Callable[[], Node]:
+    """A function that makes a new node at each call; ``result`` is a text or other makers."""
+    parts = result if isinstance(result, str) else tuple(result)
+    return lambda: Node(name, parts if isinstance(parts, str) else [make() for make in parts], dict(attrs or {}))
+
+
+def delimiter_positions(p: Path) -> range:
+    """The places between all children."""
+    return range(1, len(p[-1].children or ()))
+
+
+def place_numbers(p: Path, position: int | Iterable[int] | Callable | None) -> list[int]:
+    """Any form of a position as a list: a number, several, a function of the path that gives one of these, or None."""
+    if callable(position):
+        position = position(p)
+    return [] if position is None else [position] if isinstance(position, int) else list(position)
+
+
+def insert(position: int | Iterable[int] | Callable | None, make: Callable[[], Node]) -> Step:
     def step(p: Path) -> None:
         n = p[-1]
         parts = list(n.children or ([Node(":Text", n.text)] if n.text else []))
-        places = position(p) if callable(position) else [position if position >= 0 else len(parts) + position + 1]
+        places = [k if k >= 0 else len(parts) + k + 1 for k in place_numbers(p, position)]
         for k in sorted(set(places), reverse=True):
             parts.insert(k, make())
         n.result = parts
@@ -539,7 +636,7 @@ def insert(position: int | Callable[[Path], Iterable[int]], make: Callable[[], N
 
 
 def delimit_children(make: Callable[[], Node]) -> Step:
-    return insert(lambda p: range(1, len(p[-1].children or ())), make)
+    return insert(delimiter_positions, make)
 
 
 def positions_of(*names: str) -> Callable[[Path], list[int]]:
@@ -564,9 +661,14 @@ class Report:
 REPORT = Report()
 
 
+def note(pos: int, code: int, message: str) -> None:
+    """Records an error of the tree that is being rewritten. Steps call it by name, as a worker has one report."""
+    REPORT.found.append((pos, code, message))
+
+
 def add_error(message: str, code: int = 1000) -> Step:
     def step(p: Path) -> None:
-        REPORT.found.append((p[-1].pos or 0, code, message.format(name=p[-1].name, content=p[-1].content[:40])))
+        note(p[-1].pos or 0, code, message.format(name=p[-1].name, content=p[-1].content[:40]))
 
     return step
 
@@ -591,25 +693,89 @@ def forbid(*names: str) -> Step:
 # -- tables
 
 
-def traverse(root: Node, table: dict[str, Step | list[Step]]) -> None:
-    """Post-order application. Keys: names (several with commas), ``*`` for others, ``<`` before and ``>`` after each node's own
-    steps, ``<<<`` and ``>>>`` before and after everything."""
-    by: dict[str, list[Step]] = {}
+class Filter:
+    """First among a node's steps, it says which of the children are visited. ``keeps`` is a function of a child."""
+
+    def __init__(self, keeps: Callable[[Node], bool]):
+        self.keeps = keeps
+
+
+BLOCK_CHILDREN = Filter(lambda c: False)
+BLOCK_LEAVES = Filter(lambda c: c.children is not None)
+BLOCK_ANONYMOUS_LEAVES = Filter(lambda c: c.children is not None or not c.anonymous)
+
+
+def node_name(n: Node) -> str:
+    return n.name
+
+
+def expand_table(table: dict) -> dict[str, list]:
+    """A table with one name for each key and a list of steps for each name: keys are names, several with commas, or tuples.
+
+    ``~`` stands for ``:Whitespace``. KeyError if a name is there twice.
+    """
+    out: dict[str, list] = {}
     for key, steps in table.items():
-        for name in (x.strip() for x in key.split(",")):
-            by.setdefault(name, []).extend(steps if isinstance(steps, (list, tuple)) else [steps])
+        for name in (x.strip() for x in (key.split(",") if isinstance(key, str) else key)):
+            name = ":Whitespace" if name == "~" else name
+            if name in out:
+                raise KeyError(f"{name} is in the table twice")
+            out[name] = list(steps) if isinstance(steps, (list, tuple)) else [steps]
+    return out
+
+
+def traverse(root: Node, table: dict[str, Step | list[Step]], key: Callable[[Node], str] = node_name) -> Node:
+    """Post-order application. Keys: names (several with commas), ``*`` for others, ``<`` before and ``>`` after each node's own
+    steps, ``<<<`` and ``>>>`` before and after everything. ``key`` gives a node's key. Filters stand before a key's steps."""
+    by = expand_table(table)
+    chosen: dict[str, tuple[list[Filter], list[Step]]] = {}
+
+    def steps_of(name: str) -> tuple[list[Filter], list[Step]]:
+        if name not in chosen:
+            every = [*by.get("<", []), *by.get(name, by.get("*", [])), *by.get(">", [])]
+            chosen[name] = [x for x in every if isinstance(x, Filter)], [x for x in every if not isinstance(x, Filter)]
+        return chosen[name]
+
     run_steps([root], by.get("<<<", []))
     stack: list[tuple[Path, bool]] = [([root], False)]
     while stack:
         p, seen = stack.pop()
+        filters, steps = steps_of(key(p[-1]))
         if not seen:
             stack.append((p, True))
-            stack += [([*p, c], False) for c in reversed(p[-1].children or ())]
+            stack += [([*p, c], False) for c in reversed(p[-1].children or ()) if all(f.keeps(c) for f in filters)]
             continue
         if len(p) > 1 and not any(c is p[-1] for c in p[-2].children or ()):
             continue  # removed by a sibling's step
-        run_steps(p, [*by.get("<", []), *by.get(p[-1].name, by.get("*", [])), *by.get(">", [])])
+        run_steps(p, steps)
     run_steps([root], by.get(">>>", []))
+    return root
+
+
+def transformer(*tables: dict) -> Callable[[Node], Node]:
+    """A function that applies tables one after another to a tree."""
+
+    def run(root: Node) -> Node:
+        for t in tables:
+            traverse(root, t)
+        return root
+
+    return run
+
+
+FAILED = 10600  # a step raised an exception: the tree is as it was left
+
+
+def _rewritten(root: Node, tables: Iterable[dict]) -> list[dict]:
+    """Applies the tables and returns the errors that were recorded, by place and code the first."""
+    REPORT.found = []
+    try:
+        for t in tables:
+            traverse(root, t)
+    except Exception as e:  # a user's step: an error of its row, not of the job
+        REPORT.found.append((0, FAILED, f"{type(e).__name__}: {e}"))
+    first = {(p, c): m for p, c, m in reversed(REPORT.found)}
+    return [{"pos": p, "length": 1, "code": c, "message": first[p, c]} for p, c in dict.fromkeys((p, c) for p, c, _ in REPORT.found)]
 
 
 def rewrite(df: DataFrame, *tables: dict[str, Step | list[Step]], tree: str = "tree", keep: list[str] | None = None) -> DataFrame:
@@ -623,20 +789,40 @@ def rewrite(df: DataFrame, *tables: dict[str, Step | list[Step]], tree: str = "t
                 part = batch.slice(a, 100)
                 trees, errors = [], []
                 for root in nodes_of(part.column(len(keep))):
-                    REPORT.found = []
-                    if root is not None:
-                        for t in tables:
-                            traverse(root, t)
+                    errors.append([] if root is None else _rewritten(root, tables))
                     trees.append(None if root is None else encode(root))
-                    seen = dict.fromkeys((p, c) for p, c, _ in REPORT.found)
-                    first = {(p, c): m for p, c, m in reversed(REPORT.found)}
-                    errors.append([{"pos": p, "length": 1, "code": c, "message": first[p, c]} for p, c in seen])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], rows_array(trees), pa.array(errors, to_arrow_type(errors_type))], [*keep, tree, "rewrite_errors"])
 
     some = df.select(*[F.col(f"`{c}`") for c in keep], tree)
     return some.mapInArrow(run, T.StructType([some.schema[c] for c in keep] + [T.StructField(tree, TREE_TYPE), T.StructField("rewrite_errors", errors_type)]))
 
 
+def variants(df: DataFrame, tables: dict[str, dict | list[dict]], how: str = "sxpr", tree: str = "tree", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns and, for each of several tables (or lists of them), the tree that it makes, written in a format of ``serde.WRITERS``.
+
+    Each table gets a copy of the tree; all run in one kernel call. A table whose steps recorded errors gives their
+    messages behind the text, parted by newlines.
+    """
+    keep = [c for c in (keep or df.columns) if c != tree]
+    write = WRITERS[how]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = nodes_of(batch.column(len(keep)))
+            columns = []
+            for ts in tables.values():
+                out = []
+                for root in roots:
+                    own = None if root is None else root.copy()
+                    errors = [] if own is None else _rewritten(own, ts if isinstance(ts, list) else [ts])
+                    out.append(None if own is None else "\n".join([write(own), *(e["message"] for e in errors)]))
+                columns.append(pa.array(out, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, *tables])
+
+    some = df.select(*[F.col(f"`{c}`") for c in keep], tree)
+    return some.mapInArrow(run, T.StructType([some.schema[c] for c in keep] + [T.StructField(n, T.StringType()) for n in tables]))
+
+
 def evaluate(root: Node, actions: dict[str, Callable]) -> object:
     """A bottom-up fold: the action of a node's name (or ``*``) gets its children's values, or a leaf's text. KeyError without one."""
     values: list[list] = [[]]

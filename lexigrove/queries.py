@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +15,10 @@ from .operators import rewrite as R
 from .operators import select as S
 from .plans import library, pipeline
 from .plans.library import JSON
+from .registry import ORACLE_SQL, QUERIES, query, table
 from .sources import serde
 from .streaming import streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 PROPS = r"""
 props  = /\{"k":\s*/ number /\}/
 number = /-?[0-9]+/
@@ -42,20 +39,6 @@ rest   = /[^\n]*/
 """
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 NUMBERS_SQL = """
 SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total
 FROM events GROUP BY event_type"""
@@ -182,13 +165,13 @@ def doc_line_col(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, count(*) AS n_words, max(length(w)) AS longest, sum(length(w))::BIGINT AS n_chars
-FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n]+')) AS w FROM documents) GROUP BY doc_id""".replace("\\\\", "\\"))
+SELECT doc_id, len(n)::BIGINT AS n_words, coalesce(list_max(n), 0)::BIGINT AS longest, coalesce(list_sum(n), 0)::BIGINT AS n_chars
+FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n]+'), lambda w: length(w)) AS n FROM documents)""".replace("\\\\", "\\"))
 def doc_word_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words by a lowered grammar, measured inside the array."""
-    words = P.match_all(F.col("text"), P.grammar("word = /[^ \\t\\n]+/"), "word")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: F.length(w)).alias("n")).where(F.size("n") > 0)
-    return rows.select("doc_id", F.size("n").cast("long").alias("n_words"), F.array_max("n").cast("long").alias("longest"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"))
+    """Words by a lowered grammar, measured inside the array. A text without words, or null, has none of length 0."""
+    words = P.match_all(F.coalesce("text", F.lit("")), P.grammar("word = /[^ \\t\\n]+/"), "word")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: F.length(w)).alias("n"))
+    return rows.select("doc_id", F.size("n").cast("long").alias("n_words"), F.coalesce(F.array_max("n"), F.lit(0)).cast("long").alias("longest"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"))
 
 
 LINES_SQL = """
@@ -197,10 +180,10 @@ WITH lines AS (SELECT doc_id, length(text) // 2 AS pos, generate_subscripts(stri
 """
 
 
-@query(LINES_SQL + "SELECT doc_id, k::BIGINT AS line, (pos - cs)::BIGINT AS within FROM placed WHERE cs <= pos AND pos <= cs + length(l)")
+@query(LINES_SQL + "SELECT doc_id, k::BIGINT AS line, (pos - cs)::BIGINT AS within FROM placed JOIN documents USING (doc_id) WHERE length(text) > 0 AND cs <= pos AND pos <= cs + length(l) UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE coalesce(length(text), 0) = 0")
 def leaf_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leaf that covers an offset, of trees built in the JVM."""
-    docs = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("pos"), E.line_tree(F.col("text")).alias("tree"))
+    """The leaf that covers an offset, of trees built in the JVM. Empty texts have no leaf there: nulls."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("pos"), E.line_tree(F.col("text")).alias("tree"))
     hit = docs.select("doc_id", "pos", S.leaf_at(F.col("tree"), F.col("pos")).alias("n"))
     return hit.select("doc_id", (F.col("n.ord") + 1).cast("long").alias("line"), (F.col("pos") - F.col("n.cs")).cast("long").alias("within"))
 
@@ -297,10 +280,10 @@ def licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, md5(text) AS digest, least(length(text), 12)::BIGINT AS n_marked FROM conversations WHERE length(text) > 0""")
+SELECT conv_id, turn, md5(text) AS digest, least(length(text), 12)::BIGINT AS n_marked FROM conversations""")
 def markup_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans wrapped in elements: the content stays, the elements hold what the spans name."""
-    rows = table(spark, sf_dir, "conversations").where("length(text) > 0")
+    rows = table(spark, sf_dir, "conversations")
     spans = F.array(F.struct(F.lit(0).alias("start"), F.least(F.length("text"), F.lit(12)).alias("end"), F.lit("hi").alias("name")))
     done = M.markup_spans(rows.select("conv_id", "turn", E.line_tree(F.col("text")).alias("tree"), spans.alias("spans")))
     marked = F.aggregate(S.select(F.col("tree"), "hi"), F.lit(0).cast("long"), lambda a, n: a + n["ce"] - n["cs"])
@@ -365,3 +348,8 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = streams.windowed_counts(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+from . import queries_rewriting, queries_text  # noqa: E402, F401  they register their queries
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
