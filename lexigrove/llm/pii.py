@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,28 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def in_blocks(rows: Column) -> Column:
+    """The array cut into about as many blocks as a block has rows, and of 64 rows at least.
+
+    Sums over rows that a block or a list of blocks makes by appending stay cheap, as neither gets long.
+    """
+    return bound(
+        F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(rows))).cast("int")),
+        lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(rows) / n).cast("int") - 1, F.lit(0))), lambda k: F.slice(rows, k * n + 1, n)),
+    )
+
+
+def running(numbers: Column) -> Column:
+    """What stands before each number of an array, summed."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
+    return F.aggregate(numbers, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,match:string>>"
 
 
@@ -94,28 +118,35 @@ def spans_of(kind: str, text: Column) -> Column:
     """Confirmed, scored spans of a kind in a text: offsets in code points, end exclusive, in order.
 
     Places follow from the lengths of what stands between the matches and of the matches: ``split`` and
-    ``regexp_extract_all`` step through the same matches.
+    ``regexp_extract_all`` step through the same matches. These are taken in blocks; context words are looked for in a
+    block's own text and WINDOW characters around it, so that no match walks through the whole text.
     """
     pattern, needle = KINDS[kind]
     matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    lengths = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("n"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,match:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["b"]
-        found = F.array(F.struct(at.alias("start"), x["m"].alias("match")))
-        return F.struct((at + F.coalesce(x["n"], F.lit(0))).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], found)).alias("out"))
-
-    placed = F.aggregate(lengths, start, step, lambda acc: acc["out"])
-    placed = F.filter(placed, lambda x: confirmed(kind, x["match"]))
-
-    def scored(x: Column) -> Column:
-        low = F.greatest(x["start"] - WINDOW, F.lit(0))
-        near = F.concat_ws(" ", F.substring(text, low + 1, x["start"] - low), F.substring(text, x["start"] + F.length(x["match"]) + 1, F.lit(WINDOW)))
-        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), RAISE).otherwise(0.0))
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end"), score.alias("score"), x["match"].alias("match"))
-
-    found = F.transform(placed, scored)
+    pieces = F.zip_with(between, matches, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
+    joined = lambda rows: F.array_join(F.transform(rows, lambda x: F.concat(x["b"], F.coalesce(x["m"], F.lit("")))), "")
+
+    def of_block(rows: Column, before: Column, own: Column, after: Column, at: Column) -> Column:
+        """The spans of a block that begins at ``at``: its pieces and texts, of the blocks beside it what is near."""
+        places = running(F.transform(rows, lambda x: F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0))))
+        placed = F.zip_with(rows, places, lambda x, p: F.struct((p + F.length(x["b"])).alias("start"), x["m"].alias("match")))
+        placed = F.filter(placed, lambda x: x["match"].isNotNull() & confirmed(kind, x["match"]))
+
+        def scored(x: Column, whole: Column) -> Column:
+            here, n = F.length(before) + x["start"], F.length(x["match"])
+            low = F.greatest(here - WINDOW, F.lit(0))
+            near = F.concat_ws(" ", F.substring(whole, low + 1, here - low), F.substring(whole, here + n + 1, F.lit(WINDOW)))
+            score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), RAISE).otherwise(0.0))
+            return F.struct(F.lit(kind).alias("kind"), (at + x["start"]).alias("start"), (at + x["start"] + n).alias("end"), score.alias("score"), x["match"].alias("match"))
+
+        return bound(F.concat(before, own, after), lambda whole: F.transform(placed, lambda x: scored(x, whole)))
+
+    def of_blocks(blocks: Column) -> Column:
+        starts = running(F.transform(blocks, lambda x: F.length(x["t"])))
+        near = lambda k: F.coalesce(F.get(blocks, k)["t"], F.lit(""))
+        return bound(starts, lambda at: F.flatten(F.transform(blocks, lambda x, k: of_block(x["rows"], F.right(near(k - 1), F.lit(WINDOW)), x["t"], F.substring(near(k + 1), 1, WINDOW), F.get(at, k)))))
+
+    found = bound(pieces, lambda p: bound(F.transform(in_blocks(p), lambda rows: F.struct(rows.alias("rows"), joined(rows).alias("t"))), of_blocks))
     if kind in LEAST:
         found = F.filter(found, lambda x: x["score"] >= LEAST[kind])
     maybe = text.rlike(pattern) if needle is None else text.contains(needle)
@@ -135,22 +166,40 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def mask(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` with each span of at least this score replaced by its kind in angle brackets; spans in another are left to it."""
+    """``docs`` with each span of at least this score replaced by its kind in angle brackets; spans in another are left to it.
+
+    Of spans that overlap, the one that begins first counts, of those that begin together the shorter. Null texts stay
+    null, empty ones empty; repeated rows give repeated results; all columns are kept under their names.
+    """
     plain, names = numbered(docs)
     own = names[text_col]
     rows = plain.withColumn("_pii_text", text_column(own))
     spans = F.concat(*[spans_of(k, F.col("_pii_text")) for k in KINDS])
     spans = F.array_sort(F.transform(F.filter(spans, lambda x: x["score"] >= least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    rows = rows.withColumn("_pii_spans", spans)
     text = F.col("_pii_text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))
-        return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), new.alias("out")))
+    def of_block(block: Column, low: Column, high: Column) -> Column:
+        """The text from ``low`` to ``high`` with a block's spans masked."""
+        start = F.struct(low.alias("at"), F.lit("").alias("out"))
 
-    masked = F.aggregate("_pii_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn(own, F.when(F.size("_pii_spans") > 0, masked).otherwise(col(own))).drop("_pii_text", "_pii_spans").toDF(*docs.columns)
+        def masked(part: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                new = F.concat(acc["out"], F.substring(part, acc["at"] - low + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))
+                return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), new.alias("out")))
+
+            return F.aggregate(block, start, step, lambda acc: F.concat(acc["out"], F.substring(part, acc["at"] - low + 1, F.greatest(high - acc["at"], F.lit(0)))))
+
+        return bound(F.substring(text, low + 1, F.greatest(high - low, F.lit(0))), masked)
+
+    # a block's text reaches from behind the spans before it to its own last span's end
+    def of_blocks(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda x: x["end"])))
+        reach = bound(ends, lambda e: F.transform(e, lambda _, k: F.array_max(F.slice(e, F.lit(1), k + 1))))
+        return bound(reach, lambda r: F.concat(F.array_join(F.transform(blocks, lambda b, k: of_block(b, F.coalesce(F.get(r, k - 1), F.lit(0)), F.get(r, k))), ""), F.substring(text, F.element_at(r, -1) + 1, F.length(text))))
+
+    rows = rows.withColumn("_pii_spans", spans)
+    found = F.when(F.size("_pii_spans") > 0, bound(in_blocks(F.col("_pii_spans")), of_blocks)).otherwise(col(own))
+    return rows.withColumn(own, found).drop("_pii_text", "_pii_spans").toDF(*docs.columns)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,6 +275,27 @@ def test_pii(spark, messy, empty):
     assert [r.text for r in masked] == ["call <email> or <ip> now", None]
 
 
+def test_pii_in_texts_of_many_matches(spark):
+    """Blocks of matches: spans, contexts and masks as by hand, in time that follows the text."""
+    many = "".join(f"mail a{k}@b.co 😀 1.2.3.{k % 300}{' SSN' * (k % 7 == 0)} {100 + k % 500}-12-3456, +1 (555) 123-45{k % 100:02d}; " for k in range(3000))
+    df = spark.createDataFrame([(1, many), (2, "x" + many)], "doc_id int, text string")
+    for r in pii.find_pii(df).collect():
+        text = many if r.doc_id == 1 else "x" + many
+        assert [(s.kind, s.start, s.end) for s in r.found if s.kind in pii.BASE] == base_spans(text)
+        assert all(text[s.start : s.end] == s.match for s in r.found)
+        for s in r.found:
+            near = text[max(0, s.start - pii.WINDOW) : s.start] + " " + text[s.end : s.end + pii.WINDOW]
+            assert math.isclose(s.score, min(1, pii.SCORES[s.kind] + 0.3 * bool(re.search(pii.CONTEXT[s.kind], near))))
+        wanted = [m for m in re.finditer(pii.SSN, text) if m[0][:3] != "000" and re.search(pii.CONTEXT["ssn"], text[max(0, m.start() - 40) : m.start()] + " " + text[m.end() : m.end() + 40])]
+        assert [(s.start, s.end) for s in r.found if s.kind == "ssn"] == [m.span() for m in wanted]
+        out, at = [], 0
+        for s in sorted((s for s in r.found if s.score >= 0.5), key=lambda s: (s.start, s.end, s.kind)):
+            if s.start >= at:
+                out += [text[at : s.start], f"<{s.kind}>"]
+            at = max(at, s.end)
+        assert pii.mask(df.where(f"doc_id = {r.doc_id}")).first().text == "".join(out) + text[at:]
+
+
 def test_language(spark, messy, empty):
     learned = language_id.learn(messy)
     assert set(learned) == {"en", "xx"} and all(len(d) <= language_id.DICTIONARY_BYTES for d in learned.values())
@@ -428,9 +449,13 @@ def test_audio(messy, empty):
             stored = data + b"\0" * (-len(data) % 64 or 64 * (not data))
             if len(data) == r.n_bytes:
                 assert r.payload_sha256 == hashlib.sha256(stored).hexdigest() and r.payload_bytes == len(stored) and r.tail_crc32 == zlib.crc32(stored[-64:])
+    media = telephony.media_of_texts(messy)
+    files = collections.Counter()
+    for r in media.collect():
         assert bytes(telephony.read_wave(bytes(r.media))[3])[: r.n_bytes] in by[r.doc_id]
-        assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
-    again = telephony.decode_audio(out.select("doc_id", "media"), "doc_id", "media").collect()
+        files[r.doc_id, hashlib.sha256(r.media).hexdigest(), len(r.media)] += 1
+    assert bag((r.doc_id, r.media_sha256, r.media_bytes) for r in out.collect()) == files
+    again = telephony.decode_audio(media, "doc_id", "media").collect()
     assert bag((r.doc_id, bytes(r.pcm)) for r in again) == bag((r.doc_id, bytes(r.pcm)) for r in out.collect())
     assert telephony.store_texts(empty).collect() == []
 
