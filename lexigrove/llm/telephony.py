@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import col, documents, slices, string_array, text_column
+from .common import col, documents, materialise, slices, string_array, text_column
 
 RATE, OUT_RATE = 8000, 16000
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17  # fixed values: format tags of the WAVE container
@@ -205,49 +205,70 @@ def _level(samples: np.ndarray) -> float:
     return float(np.sqrt(np.mean(wide * wide))) if len(samples) else 0.0
 
 
-FIELDS = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm_bytes", "pcm_sha256", "feature", "media", "pcm"]
-KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+FIELDS = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm_bytes", "pcm_sha256", "feature", "pcm"]
+KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
 
-def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """One row per input row: the text's bytes stored as 8-bit mu-law samples in a WAVE file, read back and measured.
+def media_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_bytes (of the text), media: a WAVE file whose 8-bit mu-law samples are the text's padded bytes.
 
-    Columns: id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of the bytes read back), media_bytes, media_sha256,
-    pcm_bytes, pcm_sha256 (the samples at 16 kHz), feature; with ``keep`` also media (the file) and pcm.
-    ``feature``: levels (root mean square) and sign changes of the samples read as mu-law, as A-law and as ADPCM blocks.
-    Null texts count as empty: 64 zero bytes. Equal texts give equal values; repeated rows repeated results.
+    Null texts count as empty: 64 zero bytes. Repeated rows give repeated results; other columns are ignored.
     """
     rows = docs.select(col(id_col).alias("id"), text_column(text_col).alias("t"))
-    names = FIELDS if keep else FIELDS[:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = string_array(batch.column(1))
             for a, b in slices(texts):
-                files, sizes = [], []
-                for t in texts[a:b].to_pylist():
-                    data = t.encode()
-                    sizes.append(len(data))
-                    files.append(wave(payload(data)))
+                data = [t.encode() for t in texts[a:b].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(x) for x in data], pa.int64()), pa.array([wave(payload(x)) for x in data], pa.binary())], ["id", "n_bytes", "media"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+
+
+def measure(media: DataFrame, id_col: str = "doc_id", keep: bool = True) -> DataFrame:
+    """``media`` (id, n_bytes, media) as: id, n_bytes, what the stored file holds, and with ``keep`` the resampled samples as ``pcm``.
+
+    Columns: payload_bytes, payload_sha256 and tail_crc32 (of the samples that the file stores), media_bytes, media_sha256,
+    pcm_bytes, pcm_sha256 (16-bit samples at 16 kHz), feature: levels (root mean square) and sign changes of the samples
+    read as mu-law, as A-law and as ADPCM blocks.
+    """
+    rows = media.select(col(id_col).alias("id"), "n_bytes", "media")
+    names = FIELDS if keep else FIELDS[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                files = [x.as_py() for x in batch.column(2)[a : a + 64]]
                 stored = [read_wave(f)[3] for f in files]
                 whole = np.frombuffer(b"".join(stored), np.uint8)
-                adpcm = decode_adpcm(whole.reshape(-1, BLOCK))  # the blocks of all texts at a time
+                adpcm = decode_adpcm(whole.reshape(-1, BLOCK))  # the blocks of several files at a time
                 out, at = [], 0
-                for n, file, data in zip(sizes, files, stored, strict=True):
+                for file, data in zip(files, stored, strict=True):
                     codes = np.frombuffer(data, np.uint8)
                     mu, law, ad = MU[codes], ALAW[codes], adpcm[at : at + len(codes) // BLOCK].reshape(-1)
                     at += len(codes) // BLOCK
                     pcm = resample(mu, RATE, OUT_RATE).astype("<i2").tobytes()
                     said = ";".join(f"{k}:{_level(x):.3f}:{int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))}" for k, x in (("mu", mu), ("a", law), ("ima", ad)))
-                    row = (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), len(pcm), hashlib.sha256(pcm).hexdigest(), f"wav/{RATE}/{OUT_RATE};{said}")
-                    out.append(row + (file, pcm) * keep)
+                    row = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), len(pcm), hashlib.sha256(pcm).hexdigest(), f"wav/{RATE}/{OUT_RATE};{said}")
+                    out.append(row + (pcm,) * keep)
                 columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), KINDS, strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns], ["id", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 64], batch.column(1)[a : a + 64], *columns], ["id", "n_bytes", *names])
 
     types = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    schema = f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{n} {types[k]}" for n, k in zip(names, KINDS, strict=False))
+    schema = f"id {dict(rows.dtypes)['id']}, n_bytes long, " + ", ".join(f"{n} {types[k]}" for n, k in zip(names, KINDS, strict=False))
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """One row per input row: the text's bytes stored as 8-bit mu-law samples, read back from the stored table and measured.
+
+    The files are written as a table of media (``media_of_texts``) into the shared folder and read again; see ``measure``
+    for the columns. Null texts count as empty: 64 zero bytes. Equal texts give equal values; repeated rows repeated
+    results. Empty input: empty result.
+    """
+    return measure(materialise(media_of_texts(docs, id_col, text_col), "audio-media"), id_col, keep)
+
+
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(documents(spark, sf_dir), keep=False)
