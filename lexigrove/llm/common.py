@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` if the session has it.
 
-    Only where neither that setting nor a checkpoint directory exists (local tests) a fresh
-    temporary folder is set.
+    Only where neither that setting nor a checkpoint directory exists and all runs in one process (local tests) a fresh
+    temporary folder is set. On a cluster, where machines do not share such folders, this is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrove-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
