@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from .common import col, documents, materialise, string_array, text_column
 
 SEQUENCE = 2048
+PER_BUCKET = 100_000  # rows of one length, if all have it, that are numbered together
 END_ID = 0
 SPECIAL = "<|endoftext|>"  # fixed value: the vocabulary's special token
 SPECIAL_ID = 50256
@@ -172,15 +173,17 @@ def plan(counts: np.ndarray, most: int = SEQUENCE) -> list[tuple[tuple[int, ...]
 
 
 def pack(rows: DataFrame, keys: list[str], length: str = "length", most: int = SEQUENCE) -> DataFrame:
-    """``rows`` with sequence_id and offset; ``rows`` should be a table, as it is read twice.
+    """``rows`` with sequence_id and offset; ``rows`` should be a table, as it is read twice. Empty input: empty result.
 
-    The driver plans on the counts of lengths (at most ``most`` numbers). Each length's pieces are numbered from 0: by range
-    of a hash of the keys, with counts of the ranges before the shuffle, so that a frequent length never meets in one task.
-    A piece's number tells its sequence by the plan's slots, of which there are at most a few for each length and pattern.
+    The driver plans on the counts of lengths (at most ``most`` numbers). Each length's pieces are numbered from 0: by bucket
+    of a hash of the keys, with counts of the buckets before the shuffle, so that a frequent length never meets in one
+    task; there are as many buckets as hold PER_BUCKET rows of a length that all rows had. A piece's number tells its
+    sequence by those of the plan's slots that its bucket reaches. Rows with equal keys and lengths are interchangeable.
+    Other columns are kept; none may be called ``_bucket`` or the like (``pack_documents`` has none of its own).
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(4 * parts)))
+    keyed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(max(4 * parts, rows.count() // PER_BUCKET))))
     by_bucket = materialise(keyed.groupBy(col(length).alias("_n"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_count")), "pack-counts")
     counts = np.zeros(most + 1, np.int64)
     for r in by_bucket.groupBy("_n").agg(F.sum("_count").alias("c")).collect():
@@ -201,13 +204,13 @@ def pack(rows: DataFrame, keys: list[str], length: str = "length", most: int = S
     # the slots of a length by their first number: at most the plan's length in all, which depends on ``most`` only
     frame = spark.createDataFrame([(x, v) for x, v in table.items()], "_n long, _slots array<struct<a:long,times:long,first:long,offset:long>>")
     before = Window.partitionBy("_n").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_bucket.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0))).select("_n", "_b", "_before")
+    starts = by_bucket.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0))).join(F.broadcast(frame), "_n")
+    reached = F.filter("_slots", lambda s: (s["a"] < F.col("_before") + F.col("_count")) & (s["a"] + s["times"] > F.col("_before")))
+    starts = starts.select("_n", "_b", "_before", reached.alias("_slots"))
     inner = Window.partitionBy(col(length), "_bucket").orderBy(*[col(k) for k in keys])
     numbered = keyed.withColumn("_r", F.row_number().over(inner) - 1)
     numbered = numbered.join(starts, (col(length) == F.col("_n")) & (F.col("_bucket") == F.col("_b"))).withColumn("_r", F.col("_r") + F.col("_before"))
-    placed = numbered.drop("_n").join(F.broadcast(frame), col(length) == F.col("_n"))
-    slot = F.element_at(F.filter("_slots", lambda s: s["a"] <= F.col("_r")), -1)
-    placed = placed.withColumn("_slot", slot)
+    placed = numbered.withColumn("_slot", F.element_at(F.filter("_slots", lambda s: s["a"] <= F.col("_r")), -1))
     sequence = F.col("_slot.first") + F.col("_r") - F.col("_slot.a")
     return placed.select(*[col(c) for c in rows.columns], sequence.alias("sequence_id"), F.col("_slot.offset").alias("offset"))
 
