@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,17 +43,17 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float], s
     return out
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, quality: Callable[[Column], Column]) -> DataFrame:
     """``docs`` with _id, _source, _size and _key = -ln(u) / w."""
     text = text_column(text_col)
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), col(id_col).cast("string"), text), 11).cast("double") + 0.5) / float(1 << 53)
-    return docs.withColumns({"_id": col(id_col), "_source": col(source_col).cast("string"), "_size": words(text), "_key": -F.log(unit) / letters_weight(text)})
+    return docs.withColumns({"_id": col(id_col), "_source": col(source_col).cast("string"), "_size": words(text), "_key": -F.log(unit) / quality(text)})
 
 
 def _ranged(rows: DataFrame, plan: list[tuple], spark: SparkSession) -> DataFrame:
     """``rows`` with the plan of their source and the range that their key falls into."""
     schema = T.StructType([T.StructField(n, t) for n, t in (("_s", T.StringType()), ("_source_size", T.LongType()), ("_target", T.DoubleType()), ("_epochs", T.IntegerType()), ("_budget", T.DoubleType()), ("_ranges", T.LongType()), ("_border", T.LongType()), ("_before", T.LongType()))])
-    by_source = F.broadcast(spark.createDataFrame(plan, schema))  # as many rows as the recipe has sources
+    by_source = spark.createDataFrame(plan, schema)  # a row for each source; its known size decides on how it is joined
     joined = rows.join(by_source, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     return joined.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * F.col("_ranges")), F.col("_ranges") - 1))
 
@@ -85,11 +85,11 @@ def _timed(rows: DataFrame, plan: list[tuple]) -> DataFrame:
     return edge.unionByName(rest).withColumn("_times", (F.col("_epochs") + F.col("_more")).cast("int"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 7, quality: Callable[[Column], Column] = letters_weight) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, times, taken.
 
     A source of size S and target t is taken floor(t / S) times whole; of the rest, documents are taken in the order
-    of their keys -ln(u) / w until the words reach the budget, w a quality weight and u a hash of id and text. The document at
+    of their keys -ln(u) / w until the words reach the budget, w a quality weight (``quality`` makes it from the text column) and u a hash of id and text. The document at
     the border is taken if the sum is nearer with it. Thus no document is taken more than ceil(most) times.
 
     The order within a source needs no single sorted run: keys fall into up to 65,536 ranges by source (about 256
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null text: size 0. A source of size 0 has target 0 and is not taken. Null source: a source of its own, last in
     order. Null ids and repeated rows are rows like others (equal keys: the smaller id first). Empty input: empty result.
     """
-    rows = materialise(_keyed(docs, id_col, text_col, source_col, seed).select("_id", "_source", "_size", "_key"), "mix-keys")
+    rows = materialise(_keyed(docs, id_col, text_col, source_col, seed, quality).select("_id", "_source", "_size", "_key"), "mix-keys")
     out = _timed(rows, _planned(rows, weights, share, most))
     return out.select(
         F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
@@ -107,13 +107,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 7) -> DataFrame:
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 7, quality: Callable[[Column], Column] = letters_weight) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as ``mix`` takes it (0 times: gone).
 
+    Nulls, empty texts, repeated rows and ties as for ``mix``; columns keep their names, whatever these are. Empty input: empty result.
     The plan comes from a narrow table of keys; then each row is taken by its own key, without a join to any other table of rows.
     """
     plain, names = numbered(docs)
-    keyed = _keyed(plain, names[id_col], names[text_col], names[source_col], seed)
+    keyed = _keyed(plain, names[id_col], names[text_col], names[source_col], seed, quality)
     rows = materialise(keyed.select("_id", "_source", "_size", "_key"), "mix-keys")
     timed = _timed(keyed, _planned(rows, weights, share, most)).where("_times > 0")
     copies = timed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
