@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, documents, raw, slices, string_array, text_column
+from .common import col, documents, materialise, raw, slices, string_array, text_column
 
 BUCKETS = 1 << 16
 SAMPLE = 6000  # rows that the linear scorer is fitted on, about; the votes are counted over all rows
@@ -159,7 +159,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """
     spark = docs.sparkSession
     base = docs.select(col(id_col).alias("id"), text_column(text_col).alias("t"))
-    base = base.select("id", "t", *[v.cast("double").alias(k) for k, v in statistics(F.col("t")).items()]).withColumn("pattern", _pattern())
+    # written once with the texts: all that follows reads them, and no statistic is computed again
+    base = base.select("id", "t", *[v.cast("double").alias(k) for k, v in statistics(F.col("t")).items()])
+    base = materialise(base.withColumn("pattern", _pattern()), "quality-statistics")
     found = base.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** 9 rows
     patterns = np.array([[{"1": 1, "0": 0}.get(c, -1) for c in r.pattern] for r in found]).reshape(len(found), len(NAMES))
     counts = np.array([r.n for r in found], float)
