@@ -168,19 +168,19 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     posterior, accuracy, share = estimate(patterns, counts)
     belief = {r.pattern: float(p) for r, p in zip(found, posterior, strict=True)}
     share_of = min(1.0, sample / max(1.0, counts.sum()))
-    chosen = base.where(F.pmod(F.xxhash64(F.lit(11), F.col("id").cast("string"), F.col("t")), F.lit(1 << 30)) < int(share_of * (1 << 30)))
+    chosen = base.withColumn("h", F.xxhash64(F.lit(11), F.col("id").cast("string"), F.col("t"))).where(F.pmod("h", F.lit(1 << 30)) < int(share_of * (1 << 30)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, shape = string_array(batch.column(1)), shapes(_read(batch))
             for a, b in slices(texts):
                 rows = [tuple(np.unique(at, return_inverse=True)) + (x,) for at, x in hashed(texts[a:b], shape[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column("pattern")[a:b], pa.array([u.astype(np.int32) for u, _, _ in rows], pa.list_(pa.int32())), pa.array([np.bincount(i, x).astype(np.float32) for _, i, x in rows], pa.list_(pa.float32()))], ["pattern", "at", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("pattern")[a:b], batch.column("h")[a:b], pa.array([u.astype(np.int32) for u, _, _ in rows], pa.list_(pa.int32())), pa.array([np.bincount(i, x).astype(np.float32) for _, i, x in rows], pa.list_(pa.float32()))], ["pattern", "h", "at", "x"])
 
-    rows, labels = [], []
-    for r in sorted(chosen.mapInArrow(features, "pattern string, at array<int>, x array<float>").collect(), key=lambda r: (r.pattern, r.at, r.x)):
-        rows.append((np.array(r.at, np.int64), np.array(r.x)))
-        labels.append(belief[r.pattern])
+    # in an order that does not depend on partitions; texts with equal hashes are the same
+    sampled = chosen.mapInArrow(features, "pattern string, h long, at array<int>, x array<float>").toArrow().sort_by([("pattern", "ascending"), ("h", "ascending")])
+    rows = [(at.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(float)) for at, x in zip(sampled.column("at"), sampled.column("x"), strict=True)]
+    labels = [belief[p] for p in sampled.column("pattern").to_pylist()]
     weights = fit(rows, np.array(labels)).astype(np.float32)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
