@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.serde import nodes_of, rows_array
+from ..sources.serde import nodes_of, tree_array
 from ..tree import TREE_TYPE, Node, encode
 from . import select as S
 
@@ -207,8 +207,8 @@ def markup_spans(df: DataFrame, spans: str = "spans", tree: str = "tree", keep:
                         for s in sorted(todo or [], key=lambda s: (s["start"], -s["end"])):
                             n += markup(root, s["start"], s["end"], s["name"], divisible=divisible, chain=chain)
                     counts.append(n)
-                    trees.append(None if root is None else encode(root))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], rows_array(trees), pa.array(counts, pa.int32())], [*keep, tree, "n_parts"])
+                    trees.append(root)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], tree_array(trees), pa.array(counts, pa.int32())], [*keep, tree, "n_parts"])
 
     some = df.select(*[F.col(f"`{c}`") for c in keep], tree, F.col(spans).cast(SPANS))
     return some.mapInArrow(run, T.StructType([some.schema[c] for c in keep] + [T.StructField(tree, TREE_TYPE), T.StructField("n_parts", T.IntegerType())]))

@@ -12,8 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans import ebnf, kernel, lower
 from ..plans.ir import Grammar
-from ..sources.serde import rows_array
-from ..tree import ERROR_TYPE, TREE_TYPE, encode
+from ..sources.serde import tree_array
+from ..tree import ERROR_TYPE, TREE_TYPE
 
 ERRORS = T.ArrayType(ERROR_TYPE)
 BATCH = 100
@@ -23,8 +23,8 @@ def grammar(text: str, **how) -> Grammar:
     return ebnf.read(text, **how)
 
 
-def parse(df: DataFrame, column: str, plan: Grammar, start: str | None = None, keep: list[str] | None = None, complete: bool = True) -> DataFrame:
-    """``keep`` columns (default: all others), ``tree``, ``errors`` (by position) and ``max_code``; null texts have null trees."""
+def parse(df: DataFrame, column: str, plan: Grammar, start: str | None = None, keep: list[str] | None = None, complete: bool = True, tree: bool = True) -> DataFrame:
+    """``keep`` columns (default: all others), ``tree`` (unless it is not wanted), ``errors`` (by position) and ``max_code``; null texts have null trees."""
     keep = [c for c in (keep or df.columns) if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,12 +35,12 @@ def parse(df: DataFrame, column: str, plan: Grammar, start: str | None = None, k
                 texts = part.column(len(keep)).to_pylist()
                 found = kernel.deep(lambda texts=texts: [(None, [], None) if t is None else parser.parse(t, start, complete) for t in texts])
                 errors = [[{"pos": p, "length": n, "code": c, "message": m} for p, n, c, m in e] for _, e, _ in found]
-                trees = rows_array([None if t is None else encode(t) for t, _, _ in found])
+                trees = [tree_array([t for t, _, _ in found])] if tree else []
                 top = pa.array([max((x["code"] for x in e), default=0) for e in errors], pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], trees, pa.array(errors, to_arrow_type(ERRORS)), top], [*keep, "tree", "errors", "max_code"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *trees, pa.array(errors, to_arrow_type(ERRORS)), top], [*keep, *["tree"] * tree, "errors", "max_code"])
 
     some = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`"))
-    schema = T.StructType([some.schema[c] for c in keep] + [T.StructField("tree", TREE_TYPE), T.StructField("errors", ERRORS), T.StructField("max_code", T.IntegerType())])
+    schema = T.StructType([some.schema[c] for c in keep] + [T.StructField("tree", TREE_TYPE)] * tree + [T.StructField("errors", ERRORS), T.StructField("max_code", T.IntegerType())])
     return some.mapInArrow(run, schema)
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.serde import WRITERS, nodes_of, rows_array
-from ..tree import ERROR_TYPE, TREE_TYPE, Node, encode
+from ..sources.serde import WRITERS, nodes_of, tree_array
+from ..tree import ERROR_TYPE, TREE_TYPE, Node
 
 Path = list[Node]
 Step = Callable[[Path], object]
@@ -790,8 +790,8 @@ def rewrite(df: DataFrame, *tables: dict[str, Step | list[Step]], tree: str = "t
                 trees, errors = [], []
                 for root in nodes_of(part.column(len(keep))):
                     errors.append([] if root is None else _rewritten(root, tables))
-                    trees.append(None if root is None else encode(root))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], rows_array(trees), pa.array(errors, to_arrow_type(errors_type))], [*keep, tree, "rewrite_errors"])
+                    trees.append(root)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], tree_array(trees), pa.array(errors, to_arrow_type(errors_type))], [*keep, tree, "rewrite_errors"])
 
     some = df.select(*[F.col(f"`{c}`") for c in keep], tree)
     return some.mapInArrow(run, T.StructType([some.schema[c] for c in keep] + [T.StructField(tree, TREE_TYPE), T.StructField("rewrite_errors", errors_type)]))

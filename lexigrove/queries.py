@@ -93,7 +93,7 @@ FROM events GROUP BY 1""")
 def errors_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth text lacks its closing bracket: errors are rows, never exceptions."""
     text = F.when(F.col("event_id") % 10 == 0, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
-    trees = P.parse(table(spark, sf_dir, "events").select("event_id", text.alias("t")), "t", P.grammar(JSON))
+    trees = P.parse(table(spark, sf_dir, "events").select("event_id", text.alias("t")), "t", P.grammar(JSON), tree=False)
     return trees.groupBy(X.severity(F.col("max_code")).alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("errors")).alias("n_errors"))
 
 
@@ -350,6 +350,6 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-from . import queries_rewriting, queries_text  # noqa: E402, F401  they register their queries
+from . import queries_rewriting, queries_text, queries_trees  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -29,18 +29,19 @@ def trees(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
 
 def expected(template: str) -> str:
     """A template as an SQL expression."""
-    return " || ".join(VALUES[x[1:-1]] if re.fullmatch(r"\{[kabt]\}", x) else "'" + x.replace("'", "''") + "'" for x in re.split(r"(\{[kabt]\})", template) if x)
+    return " || ".join(VALUES[x[1:-1]] if re.fullmatch(r"\{[kabt]\}", x) else "'" + x.replace("'", "''") + "'" for x in re.split(r"(\{[kabt]\})", template) if x) or "''"
 
 
-def cases(name: str, what: str, base: str, columns: dict[str, tuple[dict | list[dict], str]]) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return R.variants(trees(spark, sf_dir, base), {c: t for c, (t, _) in columns.items()})
-
+def register(name: str, what: str, run, columns: dict[str, tuple[object, str]]) -> None:
     run.__name__, run.__doc__ = name, what
     QUERIES[name] = run
     ORACLE_SQL[name] = "SELECT p_partkey, " + ", ".join(f"{expected(e)} AS {c}" for c, (_, e) in columns.items()) + " FROM part"
 
 
+def cases(name: str, what: str, base: str, columns: dict[str, tuple[dict | list[dict], str]]) -> None:
+    register(name, what, lambda spark, sf_dir: R.variants(trees(spark, sf_dir, base), {c: t for c, (t, _) in columns.items()}), columns)
+
+
 comma = R.node_maker("mark", ",")
 WORDS = '(part (word "{a}") (:Whitespace " ") (word "{b}") (:Text ",") (kind "{t}"))'
 

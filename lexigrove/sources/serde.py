@@ -222,20 +222,77 @@ def as_html(root: Node, css: str = "", lang: str = "en") -> str:
     return f'<!DOCTYPE html>\n<html lang="{lang}"><head><meta charset="UTF-8"/>{style}</head><body>{as_xml(root)}</body></html>'
 
 
-def as_unist(root: Node, lbreaks: list[int] | None = None) -> dict:
-    out: dict = {"type": "element", "name": root.name}
-    if root.attrs:
-        out["attributes"] = root.attrs
-    if root.children is None:
-        out = {"type": "text", "value": root.text} if root.anonymous else out | {"children": [{"type": "text", "value": root.text}]}
-    else:
-        out["children"] = [as_unist(c, lbreaks) for c in root.children]
-    if root.pos is not None and lbreaks is not None:
-        import bisect
-
-        line = bisect.bisect_right(lbreaks, root.pos - 1) if lbreaks else 0
-        out["position"] = {"offset": root.pos, "line": line + 1, "column": root.pos - (lbreaks[line - 1] if line else -1)}
-    return out
+def unist(root: Node, flavor: str = "xast", source: str | None = None) -> dict:
+    """The tree as an object of the unist family: ``xast`` (elements and texts) or ``ndst`` (a node's name is its type).
+
+    With the ``source`` text, nodes that know their position get a start and an end in line, column and offset.
+    """
+    import bisect
+
+    breaks = [-1, *(m.start() for m in re.finditer("\n", source or ""))]
+
+    def place(pos: int) -> dict:
+        line = bisect.bisect_left(breaks, pos)
+        return {"line": line, "column": pos - breaks[line - 1], "offset": pos}
+
+    def made(n: Node, top: bool) -> tuple[dict, int | None]:
+        out: dict = {"type": ("root" if top else "element"), "name": n.name} if flavor == "xast" else {"type": n.name}
+        if n.attrs:
+            out["attributes"] = dict(n.attrs)
+        end = None
+        if n.children is not None:
+            out["children"] = []
+            for c in n.children:
+                child, end = made(c, False)
+                out["children"].append(child)
+        elif flavor == "xast":
+            out["children"] = [{"type": "text", "value": n.text}]
+        else:
+            out["value"] = n.text
+        if n.pos is not None and source is not None:
+            end = n.pos + len(n.text) if n.children is None else end
+            out["position"] = {"start": place(n.pos), "end": place(n.pos if end is None else end)}
+        return out, end
+
+    return made(root, True)[0]
+
+
+def as_sxml(root: Node, form: int = 1) -> str:
+    """SXML: attributes as ``(@ (name "value"))``; in form 2 every node has such a list, empty or not."""
+    out: list[str] = []
+    stack: list[Node | str] = [root]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
+        attrs = "".join(f" ({k} {_quoted(v)})" for k, v in n.attrs.items())
+        out.append((" " if out else "") + f"({n.name}" + (f" (@{attrs})" if attrs or form == 2 else ""))
+        if n.children is None:
+            out.append(f" {_quoted(n.text)})" if n.text else ")")
+        else:
+            stack += [")", *n.children[::-1]]
+    return "".join(out)
+
+
+def flatten_xml(text: str) -> str:
+    """XML on one line: blanks and breaks between a tag and the next go."""
+    return re.sub(r"(?<=>)\s*\n\s*(?=<)|(?<=>)\s*\n\s*(?=\S)|\s*\n\s*(?=<)", "", text).strip()
+
+
+def one_line(text: str, most: int = 92) -> str:
+    """A serialization of several lines on one, if that is no longer than ``most`` characters."""
+    flat = re.sub(r"\s*\n\s*", " ", text).replace(" )", ")")
+    return flat if len(flat) <= most else text
+
+
+def frozen(n: Node) -> tuple:
+    """A tree as nested tuples (name, text or children, attributes, position): equal trees are equal keys."""
+    return n.name, n.text if n.children is None else tuple(map(frozen, n.children)), tuple(n.attrs.items()), n.pos
+
+
+def thawed(t: tuple) -> Node:
+    return Node(t[0], t[1] if isinstance(t[1], str) else [thawed(c) for c in t[1]], dict(t[2]), t[3])
 
 
 def deserialize(text: str) -> Node | None:
@@ -258,17 +315,62 @@ WRITERS = {
     "json": lambda n: json.dumps(to_json_obj(n), ensure_ascii=False),
     "dict": lambda n: json.dumps(to_json_obj(n, True), ensure_ascii=False),
     "tree": as_outline,
-    "ndst": lambda n: json.dumps(as_unist(n), ensure_ascii=False),
+    "sxml": as_sxml,
+    "sxml2": lambda n: as_sxml(n, 2),
+    "xast": lambda n: json.dumps(unist(n), ensure_ascii=False),
+    "ndst": lambda n: json.dumps(unist(n, "ndst"), ensure_ascii=False),
     "text": lambda n: n.content,
 }
 
 
-def rows_array(trees: list[list[dict] | None]) -> pa.Array:
-    """Trees as an Arrow column of the node array's type."""
+def tree_array(roots: list[Node | None]) -> pa.Array:
+    """Trees as an Arrow column of the node array's type, filled field by field."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    fixed = [None if t is None else [r | {"attrs": list(r["attrs"].items())} for r in t] for t in trees]
-    return pa.array(fixed, to_arrow_type(TREE_TYPE))
+    kind = to_arrow_type(TREE_TYPE)
+    fields: list[list] = [[] for _ in range(10)]
+    nids, pids, lasts, depths, orders, names, texts, begins, ends, places = fields
+    keys, values, attr_ends, bounds = [], [], [0], [0]
+    for root in roots:
+        first, at = len(nids), 0
+        stack: list[tuple[Node | None, int, int, int]] = [] if root is None else [(root, -1, 0, 0)]
+        while stack:
+            node, pid, depth, order = stack.pop()
+            if node is None:  # all below row pid is done
+                lasts[first + pid], ends[first + pid] = len(nids) - first - 1, at
+                continue
+            nid = len(nids) - first
+            nids.append(nid)
+            pids.append(pid)
+            lasts.append(nid)
+            depths.append(depth)
+            orders.append(order)
+            names.append(node.name)
+            texts.append(node.text)
+            begins.append(at)
+            places.append(node.pos)
+            if node.attrs:
+                keys += node.attrs
+                values += node.attrs.values()
+            attr_ends.append(len(keys))
+            if node.children is None:
+                at += len(node.text)
+                ends.append(at)
+            else:
+                ends.append(at)
+                stack.append((None, nid, 0, 0))
+                k = len(node.children)
+                for c in reversed(node.children):
+                    k -= 1
+                    stack.append((c, nid, depth + 1, k))
+        bounds.append(len(nids))
+    item = kind.value_type
+    cuts, names_of = pa.array(attr_ends, pa.int32()), pa.array(keys, pa.string())
+    maps = pa.MapArray.from_arrays(cuts, names_of, pa.array(values, pa.string())).cast(item.field("attrs").type)
+    columns = [pa.array(x, item.field(i).type) for i, x in enumerate(fields)] + [maps, pa.ListArray.from_arrays(cuts, names_of).cast(item.field("attr_keys").type)]
+    rows = pa.StructArray.from_arrays(columns, fields=list(item))
+    none = pa.array([r is None for r in roots], pa.bool_()) if any(r is None for r in roots) else None
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows, mask=none).cast(kind)
 
 
 def nodes_of(column: pa.Array) -> list[Node | None]:
@@ -288,12 +390,12 @@ def read_trees(df: DataFrame, column: str, format: str, keep: list[str] | None =
                 for text in part.column(len(keep)).to_pylist():
                     try:
                         node = None if text is None else read(text)
-                        trees.append(None if node is None else encode(node))
+                        trees.append(node)
                         errors.append(None)
                     except (ValueError, RecursionError) as e:
                         trees.append(None)
                         errors.append(str(e) or type(e).__name__)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], rows_array(trees), pa.array(errors, pa.string())], [*keep, "tree", "error"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], tree_array(trees), pa.array(errors, pa.string())], [*keep, "tree", "error"])
 
     some = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`"))
     schema = T.StructType([some.schema[c] for c in keep] + [T.StructField("tree", TREE_TYPE), T.StructField("error", T.StringType())])

@@ -60,7 +60,8 @@ def test_outline_and_dispatch():
     assert serde.as_outline(t) == 'a\n  b "x"\n  c'
     assert all(serde.deserialize(serde.WRITERS[k](t)).equals(t) for k in ("sxpr", "json", "xml"))
     assert serde.deserialize("  ") is None
-    assert serde.as_unist(set_positions(t), [])["position"] == {"offset": 0, "line": 1, "column": 1}
+    assert serde.unist(set_positions(t), source=t.content)["position"]["start"] == {"offset": 0, "line": 1, "column": 1}
+    assert "position" not in serde.unist(t)
 
 
 def test_deep_and_wide_trees():
