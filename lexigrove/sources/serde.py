@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tree import NODE_TYPE, TREE_TYPE, Node, decode, encode
+from ..tree import NODE_TYPE, TREE_TYPE, Node, encode
 
 SXPR_TOKEN = re.compile(r"""\s*(?:(\()\s*([^\s()"'`]+)|(\))|"((?:\\.|[^"\\])*)"|'((?:\\.|[^'\\])*)'|([^\s()"']+))""", re.S)
 NAME = re.compile(r"[A-Za-z_:][\w.:-]*")
@@ -374,7 +374,35 @@ def tree_array(roots: list[Node | None]) -> pa.Array:
 
 
 def nodes_of(column: pa.Array) -> list[Node | None]:
-    return [decode(rows) for rows in column.to_pylist()]
+    """The nested forms of a column of trees, read field by field; None for null and empty ones."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = column.offsets.to_pylist()
+    rows = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    fields = dict(zip((f.name for f in rows.type), rows.flatten(), strict=True))
+    pids, names, texts, places = (fields[n].to_pylist() for n in ("pid", "name", "text", "pos"))
+    sizes = fields["attrs"].offsets.to_numpy()
+    some = set((sizes[1:] > sizes[:-1]).nonzero()[0].tolist())
+    out: list[Node | None] = []
+    for valid, a, b in zip(column.is_valid().to_pylist(), offsets[:-1], offsets[1:], strict=True):
+        if not valid or a == b:
+            out.append(None)
+            continue
+        made: list[Node] = []
+        for k in range(a - offsets[0], b - offsets[0]):
+            node = Node(names[k], texts[k] or "", None, places[k])
+            if k in some:
+                attrs = dict(fields["attrs"][k].as_py())
+                node.attrs = {x: attrs[x] for x in fields["attr_keys"][k].as_py() or attrs}
+            made.append(node)
+            if pids[k] >= 0:
+                up = made[pids[k]]
+                if up.children is None:
+                    up.children, up.text = [node], None
+                else:
+                    up.children.append(node)
+        out.append(made[0])
+    return out
 
 
 def read_trees(df: DataFrame, column: str, format: str, keep: list[str] | None = None) -> DataFrame:
