@@ -11,11 +11,28 @@ from ..tree import TREE_TYPE
 _EMPTY = "CAST(map() AS map<string,string>)"
 
 
+def running(numbers: Column) -> Column:
+    """Struct (out, total) of an array: what stands before each number, summed, and the sum of all.
+
+    In blocks of about as many numbers as there are blocks: sums that grow an array stay cheap, as no array gets long.
+    """
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
+    short = lambda rows: F.aggregate(rows, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def of_blocks(blocks: Column) -> Column:
+        sums = short(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n)))
+        return bound(sums, lambda s: F.struct(F.flatten(F.transform(blocks, lambda b, k: F.transform(short(b)["out"], lambda x: x + F.get(s["out"], k)))).alias("out"), s["at"].alias("total")))
+
+    def of_size(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(numbers) / n).cast("int") - 1, F.lit(0))), lambda k: F.slice(numbers, k * n + 1, n))
+
+    return bound(bound(F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(numbers))).cast("int")), of_size), of_blocks)
+
+
 def flat_tree(pieces: Column, root: str, name: str) -> Column:
     """A root with one leaf for each piece of text (an array of strings), in the encoding of trees."""
-    lengths = F.transform(pieces, lambda x: F.length(x))
-    begin = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
-    starts = F.aggregate(lengths, begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+    starts = running(F.transform(pieces, lambda x: F.length(x)))
 
     def row(nid, pid, last, depth, rank, label, text, cs, ce) -> Column:
         return F.struct(
@@ -25,7 +42,7 @@ def flat_tree(pieces: Column, root: str, name: str) -> Column:
         )
 
     zero = F.lit(0)
-    top = row(zero, F.lit(-1), F.size(pieces), zero, zero, F.lit(root), F.when(F.size(pieces) == 0, ""), zero, starts["at"])
+    top = row(zero, F.lit(-1), F.size(pieces), zero, zero, F.lit(root), F.when(F.size(pieces) == 0, ""), zero, starts["total"])
     kids = F.zip_with(F.zip_with(pieces, starts["out"], lambda t, s: F.struct(t.alias("t"), s.alias("s"))), F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), lambda p, k: row(k, zero, k, F.lit(1), k - 1, F.lit(name), p["t"], p["s"], p["s"] + F.length(p["t"])))
     return F.concat(F.array(top), F.when(F.size(pieces) > 0, kids).otherwise(F.slice(kids, 1, 0))).cast(TREE_TYPE)
 

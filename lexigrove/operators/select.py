@@ -10,8 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..tree import NODE_TYPE
@@ -145,10 +147,16 @@ def common_ancestor(a: Column, b: Column) -> Column:
 
 def leaves(tree: Column, select_: Selector = ANY_NODE, ignore: Selector = NO_NODE) -> Column:
     """Leaves below (or at) a selected and not below an ignored node."""
-    wanted, unwanted = matcher(select_), matcher(ignore)
-    keep, drop = F.filter(tree, wanted), F.filter(tree, unwanted)
+    out = F.filter(tree, lambda n: n["text"].isNotNull())
     inside = lambda rows, n: F.exists(rows, lambda a: (a["nid"] <= n["nid"]) & (n["nid"] <= a["last"]))
-    return F.filter(tree, lambda n: n["text"].isNotNull() & inside(keep, n) & ~inside(drop, n))
+    # what is always or never so needs no look at the nodes above
+    if select_ is not ANY_NODE:
+        keep = F.filter(tree, matcher(select_))
+        out = F.filter(out, lambda n: inside(keep, n))
+    if ignore is not NO_NODE:
+        drop = F.filter(tree, matcher(ignore))
+        out = F.filter(out, lambda n: ~inside(drop, n))
+    return out
 
 
 def content_of(tree: Column, select_: Selector = ANY_NODE, ignore: Selector = NO_NODE) -> Column:
@@ -199,10 +207,29 @@ def nodes(df: DataFrame, tree: str = "tree", keep: list[str] | None = None, wher
 
 
 def with_paths(df: DataFrame, tree: str = "tree", keep: list[str] | None = None) -> DataFrame:
-    """Node rows with ``ids`` and ``names`` from the root down, made inside the array."""
+    """Node rows with ``ids`` and ``names`` from the root down: a path is its parent's path and the node, so one pass makes all."""
     keep = ["doc_id"] if keep is None else keep
     fields = [f.name for f in NODE_TYPE.fields]
-    full = F.transform(F.col(tree), lambda n: F.struct(*[n[f].alias(f) for f in fields], F.transform(path(F.col(tree), n), lambda a: a["nid"]).alias("ids"), path_names(F.col(tree), n).alias("names")))
+
+    @F.arrow_udf(T.StructType.fromDDL("p array<struct<ids:array<int>,names:array<string>>>")["p"].dataType)
+    def paths(pids: pa.Array, names: pa.Array) -> pa.Array:
+        ids_out, names_out, ends, bounds = [], [], [0], [0]
+        for up, own in zip(pids.to_pylist(), names.to_pylist(), strict=True):
+            ids: list[list[int]] = []
+            called: list[list[str]] = []
+            for k, (p, n) in enumerate(zip(up or (), own or (), strict=True)):
+                ids.append([*ids[p], k] if p >= 0 else [k])
+                called.append([*called[p], n] if p >= 0 else [n])
+                ids_out += ids[-1]
+                names_out += called[-1]
+                ends.append(len(ids_out))
+            bounds.append(len(ends) - 1)
+        cuts = pa.array(ends, pa.int32())
+        rows = pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(ids_out, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(names_out, pa.string()))], ["ids", "names"])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)
+
+    made = paths(F.transform(tree, lambda n: n["pid"]), F.transform(tree, lambda n: n["name"]))
+    full = F.zip_with(F.col(tree), made, lambda n, p: F.struct(*[n[f].alias(f) for f in fields], p["ids"].alias("ids"), p["names"].alias("names")))
     return df.select(*keep, F.inline(full))
 
 

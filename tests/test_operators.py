@@ -238,3 +238,55 @@ def test_tag_names_are_whole(spark, tmp_path):
     spark.createDataFrame([(1, "u", f"<{long}a><{long}b><p><p class='c'>")], "page_id int, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = queries.page_tag_histogram(spark, str(tmp_path)).collect()
     assert {r.name: r.n for r in found} == {long + "a": 1, long + "b": 1, "p": 2}
+
+
+def test_long_trees_cost_in_proportion(spark):
+    """50,000 leaves: built in the JVM, with offsets and paths that follow from the lines."""
+    import time
+
+    from lexigrove.operators import encode as E
+
+    text = "".join(f"line {k}\n" for k in range(50_000))
+    began = time.time()
+    df = spark.createDataFrame([(1, text)], "doc_id int, t string").select("doc_id", E.line_tree(F.col("t")).alias("tree"))
+    rows = S.with_paths(df).where("nid > 0").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids"), F.sum(F.col("ce") - F.col("cs")).alias("chars"), F.max("ce").alias("end")).first()
+    assert (rows.n, rows.ids, rows.chars, rows.end) == (50_000, 100_000, len(text), len(text))
+    assert time.time() - began < 60
+
+
+def test_conditions_and_filters_of_tables():
+    t = serde.parse_sxpr('(a (b (c "x") (:d "y")) (e "z"))')
+    with pytest.raises(KeyError):
+        R.expand_table({"a, b": [], "b": []})
+    R.traverse(t, {"b": [R.BLOCK_LEAVES], "*": R.change_name("q")})
+    assert serde.as_sxpr(t) == '(q (b (c "x") (:d "y")) (q "z"))'
+    assert R.fuse(serde.parse_sxpr('(a (b "x") (c "y"))').children) == "xy"
+
+
+def test_failing_steps_are_rows(spark, tree):
+    out = R.rewrite(tree.select("doc_id", "tree"), {"w": lambda p: 1 // 0}).first()
+    assert [(e.code, e.message) for e in out.rewrite_errors] == [(R.FAILED, "ZeroDivisionError: integer division or modulo by zero")]
+
+
+def test_validation_rows(spark, tree):
+    from lexigrove.operators import validate as V
+
+    schema = serde.parse_sxpr('(branch (zero_or_more (alternative (leaf) (branch (zero_or_more (alternative (leaf) (branch)))))))')
+    assert V.validated(tree.select("doc_id", "tree"), schema).first().invalid == []
+    with pytest.raises(ValueError):
+        V.validated(tree, serde.parse_sxpr("(nonsense)"))
+
+
+def test_preprocessors_in_a_chain():
+    from lexigrove.functions import preprocess as X
+
+    mark = X.tokenizer(lambda s: (s.replace("def", X.make_token("DEF", "def")), [(0, "seen")]))
+    both = X.chain(X.includes({"lib": "two\ndef\n"}), mark)
+    got = both('one\ninclude("lib")\nthree def', "main")
+    assert X.TOKEN.sub(lambda m: m[2], got.text) == "one\ntwo\ndef\n\nthree def"
+    assert got.source(got.text.index("two")) == ("lib", 0) and got.source(got.text.rindex("def")) == ("main", 25) and got.errors == ((("main", 0)[1], "seen"),)
+    assert X.nothing("x", "f").source(0) == ("f", 0)
+    with pytest.raises(ValueError):
+        X.SourceMap((1,), (0,), ("",))
+    with pytest.raises(ValueError):
+        X.make_token("no name")
