@@ -13,6 +13,7 @@ from .common import col, documents, materialise, numbered, text_column
 
 WORD = r"[^\x20\x09-\x0D]+"
 FINEST = 65_536
+MANY = 20_000  # sources whose plan is sent to every executor: some 2 MB
 
 
 def words(text: Column) -> Column:
@@ -53,7 +54,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 def _ranged(rows: DataFrame, plan: list[tuple], spark: SparkSession) -> DataFrame:
     """``rows`` with the plan of their source and the range that their key falls into."""
     schema = T.StructType([T.StructField(n, t) for n, t in (("_s", T.StringType()), ("_source_size", T.LongType()), ("_target", T.DoubleType()), ("_epochs", T.IntegerType()), ("_budget", T.DoubleType()), ("_ranges", T.LongType()), ("_border", T.LongType()), ("_before", T.LongType()))])
-    by_source = spark.createDataFrame(plan, schema)  # a row for each source; its known size decides on how it is joined
+    by_source = spark.createDataFrame(plan, schema)
+    if len(plan) <= MANY:  # a row for each source; of more sources the plan is joined by source, with skewed ones split
+        by_source = F.broadcast(by_source)
     joined = rows.join(by_source, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     return joined.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * F.col("_ranges")), F.col("_ranges") - 1))
 
