@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +19,13 @@ from ..tree import ERROR_TYPE, TREE_TYPE
 
 ERRORS = T.ArrayType(ERROR_TYPE)
 BATCH = 100
+STEPS = 10_000  # rows of a batch of steps
+_INT, _STRING = T.IntegerType(), T.StringType()
+_OPEN = T.StructType([T.StructField("name", _STRING), T.StructField("pos", _INT)])
+STEP = T.StructType([
+    T.StructField(name, kind)
+    for name, kind in [("seq", _INT), ("symbol", _STRING), ("status", _STRING), ("recalled", T.BooleanType()), ("line", _INT), ("col", _INT), ("pos", _INT), ("length", _INT), ("stack", T.ArrayType(_OPEN)), ("excerpt", _STRING)]
+])
 
 
 def grammar(text: str, **how) -> Grammar:
@@ -44,18 +53,63 @@ def parse(df: DataFrame, column: str, plan: Grammar, start: str | None = None, k
     return some.mapInArrow(run, schema)
 
 
-def history(df: DataFrame, column: str, plan: Grammar, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, seq, pos, symbol, status: the failed matches in the order in which they were tried."""
+def history(df: DataFrame, column: str, plan: Grammar, id_col: str = "doc_id", start: str | None = None, width: int = 40) -> DataFrame:
+    """id_col, seq, symbol, status, recalled, line, col, pos, length, stack, excerpt: the steps of each text's parsing as they ended.
+
+    A step is a symbol or a nameless leaf (``:Text``, ``:RegExp``, ...), so parts come before what they are parts of. ``status``:
+    MATCH, DROP (matched and left out of the tree), FAIL, ABORT (a mandatory part was missing and nobody resumed inside),
+    RESUME (of the symbol whose rule says where to go on; what was skipped) or ERROR (its symbol is the code).
+    ``recalled``: the result was known from before. ``stack``: name and place of the open symbols, the step's own last.
+    ``excerpt``: the ``width`` characters from ``pos`` on, or those that matched if fewer. Null and empty texts: no steps and
+    those of an empty text. Rows with the same id: each with its own steps.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = kernel.Parser(plan)
+        parser = kernel.Parser(plan, trace=True)
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                steps = [] if text is None else parser.parse(text, trace=True)[2]
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(steps), batch.column(0).type), pa.array(range(len(steps)), pa.int32()), *(pa.array([s[k] for s in steps], t) for k, t in enumerate((pa.int32(), pa.string(), pa.string())))], [id_col, "seq", "pos", "symbol", "status"])
+                if text is None:
+                    continue
+                text = kernel.without_mark(text)
+                steps = kernel.deep(lambda text=text: parser.parse(text, start)[2])
+                breaks = [-1, *(m.start() for m in re.finditer("\n", text))]
+                for first in range(0, len(steps), STEPS):
+                    rows = []
+                    for seq, (symbol, pos, end, status, recalled, stack) in enumerate(steps[first : first + STEPS], first):
+                        line = bisect_left(breaks, pos)
+                        rows.append((seq, symbol, status, recalled, line, pos - breaks[line - 1], pos, end - pos, [{"name": n, "pos": p} for n, p in stack], text[pos : pos + width if status == "FAIL" else min(end, pos + width)]))
+                    columns = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip(zip(*rows, strict=True), STEP, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), batch.column(0).type), *columns], [id_col, *STEP.names])
 
     some = df.select(F.col(f"`{id_col}`"), F.col(f"`{column}`"))
-    return some.mapInArrow(run, f"`{id_col}` {dict(some.dtypes)[id_col]}, seq int, pos int, symbol string, status string")
+    return some.mapInArrow(run, T.StructType([some.schema[0], *STEP]))
+
+
+def stack_path(stack: Column, sep: str = "->") -> Column:
+    """The names of a step's stack as one string."""
+    return F.array_join(F.transform(stack, lambda x: x["name"]), sep)
+
+
+def step_line(width: int = 40) -> Column:
+    """A row of ``history`` as one line: place, stack, status, excerpt with line breaks escaped."""
+    place = F.concat(F.col("line").cast("string"), F.lit(":"), F.col("col").cast("string"))
+    shown = F.replace(F.substring("excerpt", 1, width), F.lit("\n"), F.lit("\\n"))
+    return F.concat_ws("  ", place, stack_path(F.col("stack")), F.col("status"), shown)
+
+
+def turning_points(steps: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of each text's steps (rows of ``history``): id_col, n_steps, last_match, furthest_match, furthest_fail (structs or null).
+
+    A text's last step that matched; the one that matched up to the furthest end, and the one that failed at the furthest
+    place, of several the last. One row by id is made before rows are shuffled.
+    """
+    step = F.struct(*STEP.names)
+    matched, failed = F.col("status").isin("MATCH", "DROP"), F.col("status") == "FAIL"
+    best = lambda which, *by: F.max(F.when(which, F.struct(*by, step.alias("step"))))["step"]
+    end = (F.col("pos") + F.col("length")).alias("end")
+    return steps.groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("n_steps"), best(matched, "seq").alias("last_match"), best(matched, end, "seq").alias("furthest_match"), best(failed, "pos", "seq").alias("furthest_fail")
+    )
 
 
 def match(text: Column, plan: Grammar, symbol: str) -> Column:

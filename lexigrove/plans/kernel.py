@@ -24,18 +24,24 @@ class Abort(Exception):
 
 
 class State:
-    __slots__ = ("text", "memo", "growing", "stacks", "log", "errors", "far", "far_symbol", "trace", "uses", "loose", "version")
+    __slots__ = ("text", "memo", "growing", "stacks", "log", "errors", "far", "far_symbol", "trace", "stack", "uses", "loose", "version")
 
     def __init__(self, text: str, trace: bool):
         self.text, self.memo, self.growing = text, {}, {}
         self.stacks, self.log, self.errors = {}, [], {}
-        self.far, self.far_symbol, self.trace = 0, "", [] if trace else None
+        self.far, self.far_symbol = 0, ""
+        self.trace, self.stack = [] if trace else None, ()  # steps; the open symbols and where they began
         # while seeds grow: which of them each open symbol has used, results that hold for seeds of one version only
         self.uses, self.loose, self.version = [], {}, 0
 
     def error(self, pos: int, code: int, message: str, length: int = 1) -> None:
+        if self.trace is not None and (pos, code) not in self.errors:
+            self.trace.append((str(code), pos, pos + length, "ERROR", False, (*self.stack, (str(code), pos))))
         self.errors.setdefault((pos, code), (pos, length, code, message))
 
+    def note(self, status: str, symbol: str, pos: int, end: int, recalled: bool = False) -> None:
+        self.trace.append((symbol, pos, end, status, recalled, self.stack))
+
     def undo(self, mark: int) -> None:
         while len(self.log) > mark:
             symbol, value = self.log.pop()
@@ -48,18 +54,45 @@ class State:
 Result = tuple[list[Node], int] | None  # nodes and where they end; None: no match
 
 
+def without_mark(text: str) -> str:
+    """The text without a byte order mark; offsets count from there."""
+    return text[1:] if text[:1] in ("\ufeff", "\uffef") else text
+
+
 class Parser:
-    """A plan made ready to run: one function by expression. Made once in each worker."""
+    """A plan made ready to run: one function by expression. Made once in each worker.
+
+    With ``trace``, steps are recorded as they end: each symbol and each nameless leaf, errors, and where reading resumes.
+    """
 
-    def __init__(self, grammar: Grammar):
-        self.g = grammar
+    def __init__(self, grammar: Grammar, trace: bool = False):
+        self.g, self.trace = grammar, trace
         self.recursive, self.sensitive = ir.left_recursive(grammar), ir.context_sensitive(grammar)
         self.ws = re.compile(grammar.ws_pattern() or "")
         self.symbols: dict[str, Callable[[State, int], Result]] = {}
         for s in grammar.rules:
-            self.symbols[s] = self.symbol(s)
+            self.symbols[s] = self.traced(s, self.symbol(s), s in grammar.dropped, True) if trace else self.symbol(s)
         self.bodies = {s: self.build(e, s) for s, e in grammar.rules.items()}
 
+    @staticmethod
+    def traced(name: str, run: Callable[[State, int], Result], drop: bool, symbol: bool) -> Callable[[State, int], Result]:
+        """Notes how a run ends; the stack ends with the step itself."""
+
+        def step(st: State, pos: int) -> Result:
+            before, recalled = st.stack, symbol and (name, pos) in st.memo
+            st.stack = *before, (name, pos)
+            try:
+                got = run(st, pos)
+                st.note("FAIL" if got is None else "DROP" if drop else "MATCH", name, pos, pos if got is None else got[1], recalled)
+            except Abort as stop:
+                st.note("ABORT", name, pos, stop.pos)
+                raise
+            finally:
+                st.stack = before
+            return got
+
+        return step
+
     # -- symbols
 
     def symbol(self, name: str) -> Callable[[State, int], Result]:
@@ -75,6 +108,8 @@ class Parser:
                 if to is None:
                     stop.nodes = self.wrap(name, stop.nodes, pos)
                     raise
+                if st.trace is not None:
+                    st.note("RESUME", name, stop.pos, to)
                 got = [*stop.nodes, *([Node(ZOMBIE, st.text[stop.pos : to], pos=stop.pos)] if to > stop.pos else [])], to
             if got is None:
                 return None
@@ -191,8 +226,6 @@ class Parser:
     def miss(self, st: State, pos: int, symbol: str) -> None:
         if pos > st.far:
             st.far, st.far_symbol = pos, symbol
-        if st.trace is not None:
-            st.trace.append((pos, symbol, "FAIL"))
 
     def leaf(self, e: Expr, symbol: str, name: str, end: Callable[[str, int], int]) -> Callable[[State, int], Result]:
         drop = e.drop
@@ -204,7 +237,8 @@ class Parser:
                 return None
             return ([] if drop else [Node(name, st.text[pos:to], pos=pos)]), to
 
-        return run
+        # a leaf that is all of a symbol is that symbol's step
+        return self.traced(name, run, drop, False) if self.trace and self.g.rules.get(symbol) is not e else run
 
     def _text(self, e: Expr, symbol: str):
         t = e.value
@@ -465,11 +499,11 @@ class Parser:
         parts = root.children if root.children is not None else [Node(":Text", root.text, pos=root.pos)] if root.text else []
         return Node(root.name, [*parts, Node(ZOMBIE, text[at:], pos=at)], root.attrs, root.pos)
 
-    def parse(self, text: str, start: str | None = None, complete: bool = True, trace: bool = False) -> tuple[Node, list[tuple[int, int, int, str]], list]:
-        """(tree, errors by position, trace). The whole text is in the tree: what was not parsed is in ZOMBIE__ nodes."""
-        text = text[1:] if text[:1] in ("\ufeff", "\uffef") else text
+    def parse(self, text: str, start: str | None = None, complete: bool = True) -> tuple[Node, list[tuple[int, int, int, str]], list]:
+        """(tree, errors by position, steps). The whole text is in the tree: what was not parsed is in ZOMBIE__ nodes."""
+        text = without_mark(text)
         start = start or self.g.root
-        st = State(text, trace)
+        st = State(text, self.trace)
         try:
             got = self.symbols[start](st, 0)
         except Abort as stop:

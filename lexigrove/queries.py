@@ -97,6 +97,28 @@ def errors_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.groupBy(X.severity(F.col("max_code")).alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("errors")).alias("n_errors"))
 
 
+HISTORY_SQL = r"""
+WITH texts AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN regexp_replace(props, '\}$', '') ELSE props END AS t FROM events),
+found AS (SELECT *, event_id % 10 = 0 AS broken, length(regexp_extract(t, '^\{"k":\s*')) AS began, regexp_extract(t, '-?[0-9]+') AS number FROM texts)
+SELECT event_id, CASE WHEN broken THEN 5 ELSE 4 END AS n_steps, CASE WHEN broken THEN 'number' ELSE 'props' END AS last_symbol,
+  CASE WHEN broken THEN began + 1 ELSE 1 END AS last_col, CASE WHEN broken THEN number ELSE t END AS last_text,
+  length(rtrim(t, '}')) + CASE WHEN broken THEN 0 ELSE 1 END AS furthest, CASE WHEN broken THEN 'props->:RegExp' END AS fail_stack, CASE WHEN broken THEN length(t) END AS fail_pos
+FROM found"""
+
+
+@query(HISTORY_SQL)
+def parse_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of parsing each text, of which every tenth lacks its closing bracket: how many, the last match, how far it got."""
+    text = F.when(F.col("event_id") % 10 == 0, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
+    steps = P.history(table(spark, sf_dir, "events").select("event_id", text.alias("t")), "t", P.grammar(PROPS), "event_id", width=1000)
+    last, fail = F.col("last_match"), F.col("furthest_fail")
+    far = F.col("furthest_match")
+    return P.turning_points(steps, "event_id").select(
+        "event_id", "n_steps", last["symbol"].alias("last_symbol"), last["col"].alias("last_col"), last["excerpt"].alias("last_text"),
+        (far["pos"] + far["length"]).alias("furthest"), P.stack_path(fail["stack"]).alias("fail_stack"), fail["pos"].alias("fail_pos"),
+    )
+
+
 @query("SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS name FROM pages) GROUP BY name")
 def page_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opening tags by name, by a lowered grammar."""

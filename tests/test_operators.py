@@ -152,6 +152,25 @@ def test_parse_rows_and_history(spark):
     assert [rows[k].max_code for k in (1, 2, 3, 4)] == [0, 1010, 0, 1040] and rows[3].tree is None
     assert X.error_rows(P.parse(df, "t", g)).count() == 2
     assert P.history(df, "t", g).where("doc_id = 4 and symbol = 'b'").count() == 1
+    steps = P.history(df, "t", g).orderBy("doc_id", "seq").select("doc_id", "seq", P.step_line().alias("line")).collect()
+    assert [r.line for r in steps if r.doc_id == 1] == [
+        "1:1  a->b  MATCH  x", "1:2  a->:Text  MATCH  +", "1:3  a->b  MATCH  y", "1:4  a->:Text  FAIL  ", "1:1  a  MATCH  x+y",
+    ]
+    assert [r.line for r in steps if r.doc_id == 2][2:] == ["1:3  a->b  FAIL  ", "1:3  a->1010  ERROR  ", "1:1  a  ABORT  x+"] and not [r for r in steps if r.doc_id == 3]
+    assert [r.line for r in steps if r.doc_id == 4] == ["1:1  a->b  FAIL  ?", "1:1  a  FAIL  ?", "1:1  1040  ERROR  ?"]
+
+
+def test_history_of_dropped_recalled_and_resumed(spark):
+    g = P.grammar("@ drop = sep\n@ a_resume = /(;)/\nlist = a { sep a }\na = `[` §w `]` `;`\nsep = /\\n/\nw = /\\w+/")
+    df = spark.createDataFrame([(1, "\ufeff[x];\n[?];"), (1, ""), (2, None)], "doc_id int, t string")
+    rows = P.history(df, "t", g).collect()
+    assert {(r.status, r.symbol, r.line, r.col, r.length) for r in rows if r.status in ("DROP", "RESUME")} == {("DROP", "sep", 1, 5, 1), ("RESUME", "a", 2, 2, 3)}
+    assert P.history(df.limit(0), "t", g).count() == 0 and [r.doc_id for r in P.turning_points(P.history(df, "t", g)).collect()] == [1]
+    g = P.grammar("s = x `1` | x `2`\nx = /a/")
+    steps = P.history(spark.createDataFrame([(1, "a2"), (2, "b" * 50)], "doc_id int, t string"), "t", g)
+    assert [r.recalled for r in steps.where("doc_id = 1 and symbol = 'x'").orderBy("seq").collect()] == [False, True]
+    top = {r.doc_id: r for r in P.turning_points(steps).collect()}
+    assert top[1].furthest_match.symbol == "s" and top[1].furthest_fail.excerpt == "2" and top[2].last_match is None and top[2].furthest_fail.excerpt == "b" * 40
 
 
 def test_lines_and_tokens(spark):
