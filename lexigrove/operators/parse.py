@@ -64,22 +64,35 @@ def history(df: DataFrame, column: str, plan: Grammar, id_col: str = "doc_id", s
     those of an empty text. Rows with the same id: each with its own steps.
     """
 
+    def rows_of(text: str, steps: list) -> list[tuple]:
+        text = kernel.without_mark(text)
+        breaks, rows = [-1, *(m.start() for m in re.finditer("\n", text))], []
+        for seq, (symbol, pos, end, status, recalled, stack) in enumerate(steps):
+            line = bisect_left(breaks, pos)
+            excerpt = text[pos : pos + width if status == "FAIL" else min(end, pos + width)]
+            rows.append((seq, symbol, status, recalled, line, pos - breaks[line - 1], pos, end - pos, [{"name": n, "pos": p} for n, p in stack], excerpt))
+        return rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = kernel.Parser(plan, trace=True)
+
+        def some_texts(texts: list, first: int) -> tuple[int, list[int], list[tuple]]:
+            """The steps of texts from the first on, until they are many: the next text, each step's text, the steps."""
+            at, of, rows = first, [], []
+            while at < len(texts) and len(rows) < STEPS:
+                found = [] if texts[at] is None else rows_of(texts[at], parser.parse(texts[at], start)[2])
+                of += [at] * len(found)
+                rows += found
+                at += 1
+            return at, of, rows
+
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                if text is None:
-                    continue
-                text = kernel.without_mark(text)
-                steps = kernel.deep(lambda text=text: parser.parse(text, start)[2])
-                breaks = [-1, *(m.start() for m in re.finditer("\n", text))]
-                for first in range(0, len(steps), STEPS):
-                    rows = []
-                    for seq, (symbol, pos, end, status, recalled, stack) in enumerate(steps[first : first + STEPS], first):
-                        line = bisect_left(breaks, pos)
-                        rows.append((seq, symbol, status, recalled, line, pos - breaks[line - 1], pos, end - pos, [{"name": n, "pos": p} for n, p in stack], text[pos : pos + width if status == "FAIL" else min(end, pos + width)]))
-                    columns = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip(zip(*rows, strict=True), STEP, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), batch.column(0).type), *columns], [id_col, *STEP.names])
+            texts, at = batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                at, of, rows = kernel.deep(lambda texts=texts, at=at: some_texts(texts, at))
+                for a in range(0, len(rows), STEPS):
+                    columns = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip(zip(*rows[a : a + STEPS], strict=True), STEP, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[a : a + STEPS])), *columns], [id_col, *STEP.names])
 
     some = df.select(F.col(f"`{id_col}`"), F.col(f"`{column}`"))
     return some.mapInArrow(run, T.StructType([some.schema[0], *STEP]))
