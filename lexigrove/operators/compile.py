@@ -106,19 +106,19 @@ def compiled(df: DataFrame, make: Callable[[], Compiler], tree: str = "tree", ke
     return some.mapInArrow(run, T.StructType([some.schema[c] for c in keep] + [T.StructField("data", T.StringType()), T.StructField("errors", kind)]))
 
 
-def unit_cases(cases: DataFrame, plan: Grammar, table: dict | None = None) -> DataFrame:
-    """Runs cases (symbol, kind, name, input, expect) of a grammar: symbol, kind, name, passed, got.
+def unit_cases(cases: DataFrame, plan: Grammar, table: dict | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Runs cases (symbol, kind, name, input, expect) of a grammar: ``keep`` columns, symbol, kind, name, passed, got.
 
     ``match``: no errors of 1000 or more; ``fail``: such an error; ``cst``: the tree equals the expected S-expression; ``ast``: so
     does the tree rewritten by the table.
     """
-    names = ["symbol", "kind", "name", "input", "expect"]
+    names, keep = ["symbol", "kind", "name", "input", "expect"], keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = kernel.Parser(plan)
         for batch in batches:
             out = []
-            for case in batch.to_pylist():
+            for case in batch.select(names).to_pylist():
                 tree, errors, _ = parser.parse(case["input"] or "", case["symbol"])
                 bad = any(c >= 1000 for _, _, c, _ in errors)
                 if case["kind"] == "ast":
@@ -129,6 +129,9 @@ def unit_cases(cases: DataFrame, plan: Grammar, table: dict | None = None) -> Da
                 else:
                     passed = bad == (case["kind"] == "fail")
                 out.append((case["symbol"], case["kind"], case["name"], passed, got))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.bool_() if k == 3 else pa.string()) for k in range(5)], ["symbol", "kind", "name", "passed", "got"])
+            found = [pa.array([x[k] for x in out], pa.bool_() if k == 3 else pa.string()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *found], [*keep, "symbol", "kind", "name", "passed", "got"])
 
-    return cases.select(*names).mapInArrow(run, "symbol string, kind string, name string, passed boolean, got string")
+    some = cases.select(*[F.col(f"`{c}`") for c in keep], *names)
+    result = T.StructType([T.StructField(n, T.BooleanType() if n == "passed" else T.StringType()) for n in ("symbol", "kind", "name", "passed", "got")])
+    return some.mapInArrow(run, T.StructType([*(some.schema[c] for c in keep), *result]))

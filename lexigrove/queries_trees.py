@@ -17,6 +17,7 @@ from .functions import text as T
 from .operators import compile as C
 from .operators import parse as P
 from .operators import paths as A
+from .operators import units as U
 from .operators import validate as V
 from .queries_rewriting import register, trees
 from .registry import query, table
@@ -287,3 +288,24 @@ def nested_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
         return total
 
     return R.evaluated(rows, {"expr": apply, "term": apply, "number": int, "group": lambda a, x, b: x, ":Text": str}, "long").select("o_orderkey", "value")
+
+
+UNIT_SQL = """
+WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS w FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS path, kind, name, CASE WHEN kind = 'match' THEN NULL WHEN kind = 'fail' THEN NULL
+  ELSE '(pair (key "' || w || '") (:Text "=") (value "' || p_partkey || '"))' END AS tree, kind <> 'cst' OR name <> 'M2' AS passed
+FROM p, (VALUES ('match', 'M1'), ('match', 'M2'), ('fail', 'F1'), ('cst', 'M1'), ('cst', 'M2')) AS c(kind, name)"""
+
+
+@query(UNIT_SQL)
+def unit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of unit cases, one made of each part, read as a table of cases and run; the second expectation of each is wrong."""
+    word, number = F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_partkey").cast("string")
+    tree = F.concat(F.lit('(pair (key "'), word, F.lit('")\n    (:Text "=")\n    (value "'), number, F.lit('"))\n'))
+    pair = F.concat(word, F.lit("="), number)
+    text = F.concat(
+        F.lit("# cases\n[match:pair]\nM1: "), pair, F.lit('\nM2: """'), pair, F.lit('"""\n\n[fail:pair]\nF1: "'), number, F.lit('"\n[CST:pair]\nM1: '), tree, F.lit('M2: (pair (key "0"))\n'),
+    )
+    cases = U.cases(table(spark, sf_dir, "part").select(number.alias("path"), text.alias("text")))
+    found = C.unit_cases(cases, P.grammar("pair = key `=` value\nkey = /[a-zA-Z#]+/\nvalue = /[0-9]+/"), keep=["path"])
+    return found.select("path", "kind", "name", F.when(F.col("kind") == "cst", F.col("got")).alias("tree"), "passed")

@@ -1,14 +1,17 @@
+import json
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.functions import text as X
+from lexigrove.operators import compile as C
 from lexigrove.operators import encode as E
 from lexigrove.operators import markup as M
 from lexigrove.operators import parse as P
 from lexigrove.operators import rewrite as R
 from lexigrove.operators import select as S
+from lexigrove.operators import units as U
 from lexigrove.plans import pipeline
 from lexigrove.sources import serde
 from lexigrove.streaming import streams
@@ -309,3 +312,24 @@ def test_preprocessors_in_a_chain():
         X.SourceMap((1,), (0,), ("",))
     with pytest.raises(ValueError):
         X.make_token("no name")
+
+
+def test_unit_files(spark):
+    text = "; c\n[match:a]\nM1: x+y\nM2*: \"\"\"\nx\n[no section]\n\"\"\"\nM3: one\n    two\n      three\n\n[fail:a]\n[AST:a]\nM1: (a)\nM9: (b)\n"
+    unit = U.read_ini(text)
+    assert unit == {"a": {"match": {"M1": "x+y", "M2*": "\nx\n[no section]\n", "M3": "one\ntwo\n  three"}, "fail": {}, "ast": {"M1": "(a)", "M9": "(b)"}}}
+    assert U.read_ini(U.write_ini(unit)) == unit == U.read_json(json.dumps(unit)) and U.merged(unit, {"b": {}}, unit) == {**unit, "b": {}}
+    assert U.unit_report({"a": {"match": {"M": "x\ny"}}}) == "## a\n\n### match M\n\n    x\n    y\n"
+    for value in ("", "a", "it's", '"', "'\"", '"""\n', "a\n'"):
+        assert U.code(U.quoted(value)) == value
+    for bad, message in (("[match:a]\nM: 1\nM*: 2", "line 3"), ("M: 1", "line 1"), ("[match:a]\n???", "line 2")):
+        with pytest.raises(ValueError, match=message):
+            U.read_ini(bad)
+    with pytest.raises(ValueError, match="match:a:M1"):
+        U.merged(unit, {"a": {"match": {"M1": "z"}}})
+    files = spark.createDataFrame([("f.ini", text), ("g.json", "[1]"), ("h.ini", "?"), (None, None), ("i.ini", "")], "path string, text string")
+    rows = {(r.path, r.kind, r.name): r for r in U.cases(files).collect()}
+    assert len(rows) == 7 and rows["f.ini", "ast", "M1"].input == "x+y" and rows["f.ini", "ast", "M9"].error == "no match of this name"
+    assert rows["g.json", None, None].error.startswith("AttributeError") and rows["h.ini", None, None].error.startswith("ValueError: line 1")
+    done = C.unit_cases(U.cases(files).where("kind = 'match' and name = 'M1'"), P.grammar("a = /x/ `+` /y/"), keep=["path"])
+    assert [(r.path, r.passed, r.report) for r in done.select("*", U.report().alias("report")).collect()] == [("f.ini", True, '### a, match M1: passed\n\n    (a (:RegExp "x") (:Text "+") (:RegExp "y"))')]
