@@ -35,6 +35,15 @@ WHITESPACE = {"horizontal": r"[ \t]*", "linefeed": r"[ \t]*\n?(?!\s*\n)[ \t]*",
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
+UNHEEDED = 1590
+WITHOUT_EFFECT = {
+    "optimizations": "what becomes a regular expression is decided by where the grammar is used",
+    "lowering": "what becomes a regular expression is decided by where the grammar is used",
+    "flavor": "the notation is not switched, signs of the others are read as far as they are clear",
+    "tokens": "names of a preprocessor's tokens are not checked",
+}
+
+
 class GrammarError(ValueError):
     def __init__(self, errors: list[tuple[str, int, str]]):
         super().__init__("; ".join(f"{s}: {m} ({c})" for s, c, m in errors))
@@ -187,8 +196,8 @@ class Reader:
                     {"skip": g.skip, "resume": g.resume}[what][symbol] = tuple(patterns)
             case "include":
                 g.errors.append(("", 1050, "includes are resolved before the grammar is read"))
-            case "optimizations" | "flavor" | "tokens" | "lowering":
-                pass
+            case "optimizations" | "flavor" | "tokens" | "lowering" as known:
+                g.errors.append(("", UNHEEDED, f"directive {known}: {WITHOUT_EFFECT[known]}"))
             case _:
                 g.errors.append(("", 1350, f"unknown directive {name}"))
 

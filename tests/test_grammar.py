@@ -182,3 +182,9 @@ def test_left_recursion_is_linear_in_the_nesting():
         root, errors, _ = deep(lambda depth=depth: p.parse("(" * depth + "1-2*3" + ")" * depth + "-4*(5+6)"))
         assert not errors and root.content == "(" * depth + "1-2*3" + ")" * depth + "-4*(5+6)"
         assert time.process_time() - began < 5
+
+
+def test_directives_without_effect_are_said():
+    g = ebnf.read("@ flavor = strict\n@ optimizations = all\n@ tokens = BEGIN, END\na = /x/")
+    assert [(c, m.split(":")[0]) for _, c, m in g.errors] == [(1590, "directive flavor"), (1590, "directive optimizations"), (1590, "directive tokens")]
+    assert not kernel.Parser(g).parse("x")[1]
