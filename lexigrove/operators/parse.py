@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,6 +53,17 @@ def parse(df: DataFrame, column: str, plan: Grammar, start: str | None = None, k
     return some.mapInArrow(run, schema)
 
 
+def each_text_once(df: DataFrame, column: str, work: Callable[[DataFrame], DataFrame], tasks: int = 3) -> DataFrame:
+    """Rows with what ``work`` makes of the table of their distinct texts; rows with null texts, and of texts it drops, get nulls.
+
+    ``work`` gets and keeps the column, one row a text. The texts are dealt out to so many tasks a core: parsing short texts
+    takes far more time than their bytes, by which files are split and shuffled partitions put together, let expect.
+    """
+    texts = df.select(F.col(f"`{column}`")).where(F.col(f"`{column}`").isNotNull()).distinct()
+    made = work(texts.repartition(tasks * df.sparkSession.sparkContext.defaultParallelism, F.col(f"`{column}`")))
+    return df.join(made, column, "left")
+
+
 def history(df: DataFrame, column: str, plan: Grammar, id_col: str = "doc_id", start: str | None = None, width: int = 40) -> DataFrame:
     """id_col, seq, symbol, status, recalled, line, col, pos, length, stack, excerpt: the steps of each text's parsing as they ended.
 

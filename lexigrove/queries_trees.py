@@ -273,13 +273,13 @@ def errors_at_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, (o_orderkey % 1000) + 1 - 2 * (o_custkey % 10) AS value FROM orders")
 def nested_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums in up to twelve pairs of brackets through a left-recursive grammar: time is linear in the nesting."""
+    """Sums in up to twelve pairs of brackets through a left-recursive grammar: time is linear in the nesting. Each distinct text is parsed once."""
     from .operators import rewrite as R
     from .queries import SUM
 
     deep = (F.col("o_orderkey") % 13).cast("int")
     text = F.concat(F.repeat(F.lit("("), deep), (F.col("o_orderkey") % 1000).cast("string"), F.lit("+1"), F.repeat(F.lit(")"), deep), F.lit("-2*"), F.lit("("), (F.col("o_custkey") % 10).cast("string"), F.lit(")"))
-    rows = P.parse(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")), "t", P.grammar(SUM)).select("o_orderkey", "tree")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
 
     def apply(*parts):
         total = parts[0]
@@ -287,7 +287,11 @@ def nested_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
             total = total + x if sign == "+" else total - x if sign == "-" else total * x
         return total
 
-    return R.evaluated(rows, {"expr": apply, "term": apply, "number": int, "group": lambda a, x, b: x, ":Text": str}, "long").select("o_orderkey", "value")
+    def evaluated(texts: DataFrame) -> DataFrame:
+        trees = P.parse(texts.select("t", F.col("t").alias("text")), "text", P.grammar(SUM)).select("t", "tree")
+        return R.evaluated(trees, {"expr": apply, "term": apply, "number": int, "group": lambda a, x, b: x, ":Text": str}, "long").select("t", "value")
+
+    return P.each_text_once(rows, "t", evaluated).select("o_orderkey", "value")
 
 
 UNIT_SQL = """

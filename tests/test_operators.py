@@ -280,6 +280,24 @@ def test_titles_as_written(spark, tmp_path):
     assert sorted(map(tuple, found)) == sorted(wanted)
 
 
+def test_each_distinct_text_is_parsed_once_and_in_several_tasks(spark, tmp_path):
+    from lexigrove import queries_trees
+
+    rows = [(k, k % 20) for k in range(0, 52000, 13)] + [(5, 3), (5, 3), (7, None), (None, 1)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = queries_trees.nested_sums(spark, str(tmp_path))
+    value = lambda k, c: None if k is None or c is None else k % 1000 + 1 - 2 * (c % 10)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((k, value(k, c)) for k, c in rows), key=str)
+    plan = re.findall(r"^[ :+-]*(\w+)", found._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    assert " MapInArrow RepartitionByExpression Aggregate " in " ".join(x for x in plan if x != "Project")
+
+    texts = spark.createDataFrame([("a",), ("b",), ("a",), (None,), ("",), ("c",)], "t string").coalesce(1).withColumn("n", F.monotonically_increasing_id())
+    done = P.each_text_once(texts, "t", lambda t: t.where("t <> 'c'").select("t", F.length("t").alias("size"), F.rand().alias("run")))
+    got = {r.n: r for r in done.collect()}
+    assert [got[k].t for k in range(6)] == ["a", "b", "a", None, "", "c"] and [got[k]["size"] for k in range(6)] == [1, 1, 1, None, 0, None]
+    assert got[0].run == got[2].run != got[1].run
+
+
 def test_long_trees_cost_in_proportion(spark):
     """50,000 leaves: built in the JVM, with offsets and paths that follow from the lines."""
     import time
