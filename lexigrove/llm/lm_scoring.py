@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import col, documents, fold, materialise, raw, slices, string_array, text_column
+from .common import col, documents, fold, materialise, raw, release, releasing, slices, string_array, text_column
 
 VOCABULARY = 50257
 END = VOCABULARY  # the end of a text, also what stands before its first subword
@@ -26,7 +26,9 @@ CONTEXT, STRIDE = 32, 24  # subwords of a window, and those from one window to t
 STEPS, BATCH = 600, 256  # of the start, at least; windows of a step
 RATES = 0.03, 0.01  # of the start, and of the pass over all texts
 BLOCK_BYTES, SLICE_BYTES = 16 << 20, 4 << 20
+WORDS = 1 << 16  # distinct words that are encoded in one call
 LEVELS = 24  # of the logarithm of how often a state was met
+RANGE = 64 * CLASSES  # counts that are shuffled in one row
 
 
 @functools.cache
@@ -129,7 +131,7 @@ def _pack(numbers: np.ndarray) -> bytes:
     """The numbers' bytes, those of the same place together, compressed."""
     import zstandard
 
-    return zstandard.compress(numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes(), 1)
+    return zstandard.compress(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes(), 1)
 
 
 def _unpack(packed: bytes, kind: type) -> np.ndarray:
@@ -146,6 +148,7 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays), kind))
 
 
+@releasing
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of texts as numbers: a row for each slice of a block, and one with the block's distinct words and their numbers.
 
@@ -160,6 +163,8 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, learn = string_array(table.column("t")), table.column("learn").to_numpy().astype(bool)
         bounds = [*slices(texts, SLICE_BYTES)]
         parts = [Words.of(texts[a:b]) for a, b in bounds]
+        del texts
+        release()
         hashes, at, inverse = distinct(np.concatenate([w.hashes for w in parts]))
         cuts = np.cumsum([len(w.hashes) for w in parts])
         inverse = np.split(inverse, cuts[:-1])
@@ -171,9 +176,16 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled, sizes = np.concatenate([w.spelled for w in parts]), np.concatenate([w.sizes for w in parts])
         starts = (np.cumsum(sizes) - sizes)[at[order]]
         sizes = sizes[at[order]]
-        ids, firsts = subwords(spelled[ragged(starts, sizes)], sizes, coder)
-        ids, firsts = np.concatenate([[END], ids]).astype(np.int32), np.concatenate([[0], firsts + 1])
+        ids, lengths = [np.full(1, END, np.int32)], [np.ones(1, np.int64)]
+        for a in range(0, len(sizes), WORDS):  # what a call needs besides its result grows with its words
+            of = slice(a, a + WORDS)
+            some, bounds_of = subwords(spelled[ragged(starts[of], sizes[of])], sizes[of], coder)
+            ids.append(some)
+            lengths.append(np.diff(bounds_of))
+        ids, firsts = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        del spelled, starts
         rows, n = [], np.zeros(len(hashes) + 1, np.int64)
+        release()
         for (a, b), w, x in zip(bounds, parts, inverse, strict=True):
             sequence = number[np.append(x, len(hashes))[w.sequence]]
             lengths = np.diff(firsts)[sequence]
@@ -184,7 +196,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub_n = np.bincount(ids, np.repeat(n, np.diff(firsts)), VOCABULARY + 1).astype(np.int64)
         used, k, none = np.flatnonzero(sub_n), len(rows), pa.nulls
         id_column = table.column("id").combine_chunks()
-        cut = pa.array([*(a for a, _ in bounds), len(texts)], pa.int32())
+        cut = pa.array([*(a for a, _ in bounds), table.num_rows], pa.int32())
         slim = lambda j, kind: pa.concat_arrays([_lists([r[j] for r in rows], kind), none(1, pa.list_(kind))])
         wide = lambda x, kind: pa.concat_arrays([none(k, pa.list_(kind)), _lists([x], kind)])
         blob = lambda j: pa.array([*(r[j] for r in rows), None], pa.binary())
@@ -203,6 +215,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= BLOCK_BYTES // 2:
                 yield flush()
                 waiting, size, block = [], 0, block + 1
+                release()
     if sum(b.num_rows for b in waiting):
         yield flush()
 
@@ -289,7 +302,8 @@ class Model:
 
     def gather_pairs(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         """``numbers`` of each (class * KINDS + kind of the one before it) * CLASSES + next class."""
-        self.pairs = keys.astype(np.int32), numbers.astype(np.float32)
+        order = np.argsort(keys, kind="stable")
+        self.pairs = _pack(np.diff(keys[order].astype(np.int32), prepend=np.int32(0))), _pack(numbers[order].astype(np.float32))
         self.name, self.dense = uuid.uuid4().hex, None
 
     def __getstate__(self) -> dict:
@@ -300,10 +314,11 @@ class Model:
         if self.dense is None:
             found = _dense.get(self.name)
             if found is None:
-                table = np.zeros(CLASSES * KINDS * CLASSES, np.float32)
-                table[self.pairs[0]] = self.pairs[1]
-                n = np.bincount(self.pairs[0] // CLASSES, self.pairs[1], CLASSES * KINDS).astype(np.float32)
                 _dense.clear()  # one model at a time is in use
+                keys, numbers = np.cumsum(_unpack(self.pairs[0], np.int32), dtype=np.int32), _unpack(self.pairs[1], np.float32)
+                table = np.zeros(CLASSES * KINDS * CLASSES, np.float32)
+                table[keys] = numbers
+                n = np.bincount(keys // CLASSES, numbers, CLASSES * KINDS).astype(np.float32)
                 _dense[self.name] = found = table, n, np.minimum(np.log2(n + 1), LEVELS - 1).astype(np.int64)
             self.dense = found
         return self.dense
@@ -478,13 +493,14 @@ def fit(coded: DataFrame, counts: np.ndarray, tasks: int) -> tuple[Model, float
 
     Two passes count what the values are made of. The weights start from the texts of one block; from there each task
     makes one pass over all windows of its texts, and the tasks' weights are averaged by their numbers of subwords.
-    All passes are maps; a task's counts are summed before they are shuffled, and have at most CLASSES * KINDS * CLASSES keys.
+    All passes are maps; a task's counts, at most CLASSES * KINDS * CLASSES, are shuffled in packed ranges and summed by range.
     """
     model = Model(counts)
     slim = coded.where("subs is not null").select("learn", "n_subs", "subs")
     wide = slim.coalesce(tasks)
 
-    def summed(tally) -> tuple[np.ndarray, np.ndarray]:
+    def summed(tally, size: int) -> np.ndarray:
+        @releasing
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
@@ -492,18 +508,21 @@ def fit(coded: DataFrame, counts: np.ndarray, tasks: int) -> tuple[Model, float
                     if len(ids):
                         total = tally(model, model.classes.take(ids), firsts, total)
             if total is not None:
-                keys = np.flatnonzero(total)
-                yield from pa.table([keys, total[keys].astype(np.int64)], names=["key", "n"]).to_batches(1 << 16)
+                yield from _ranges({k: total[k * RANGE : (k + 1) * RANGE] for k in range(-(-len(total) // RANGE))})
 
-        found = wide.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        return found.column("key").to_numpy(), found.column("n").to_numpy()
+        packed = wide.mapInArrow(run, "range long, counts binary").repartition("range")
+        total = np.zeros(size, np.int64)
+        for k, counts in _unpacked(packed.mapInArrow(_sum_ranges, packed.schema).toArrow()):
+            total[k * RANGE : (k + 1) * RANGE] += counts
+        return total
 
-    keys, n = summed(_tally)
-    table = np.zeros(3 * CLASSES * CLASSES)
-    table[keys] = n
-    model.gather(table.reshape(3, CLASSES, CLASSES))
-    model.gather_pairs(*summed(_tally_pairs))
+    model.gather(summed(_tally, 3 * CLASSES * CLASSES).reshape(3, CLASSES, CLASSES).astype(float))
+    pairs = summed(_tally_pairs, CLASSES * KINDS * CLASSES)
+    keys = np.flatnonzero(pairs)
+    model.gather_pairs(keys, pairs[keys])
+    del pairs, keys
 
+    @releasing
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, texts = Trainer(model, RATES[0]), [x for batch in batches for x in _learned(batch)]
         while texts and trainer.t < STEPS and any(len(ids) for ids, _ in texts):
@@ -512,6 +531,7 @@ def fit(coded: DataFrame, counts: np.ndarray, tasks: int) -> tuple[Model, float
                 trainer.one_pass(model.classes.take(ids), firsts)
         yield _weights(trainer)
 
+    @releasing
     def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(model, RATES[1])
         for batch in batches:
@@ -533,6 +553,29 @@ def fit(coded: DataFrame, counts: np.ndarray, tasks: int) -> tuple[Model, float
     return model, sums.column("loss")[0].as_py() / n, n
 
 
+def _unpacked(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of a range, its counts) of each row."""
+    for k, counts in zip(rows.column("range").to_pylist(), rows.column("counts"), strict=True):
+        yield k, _unpack(counts.as_py(), np.int64)
+
+
+def _ranges(counts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each range that has counts."""
+    for k, x in counts.items():
+        if x.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([_pack(x.astype(np.int64))], pa.binary())], ["range", "counts"])
+
+
+@releasing
+def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each range as one: all of a range come to one task."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in _unpacked(batch):
+            sums[k] = sums[k] + counts if k in sums else counts
+    yield from _ranges(sums)
+
+
 def _weights(trainer: Trainer) -> pa.RecordBatch:
     w = pa.array([trainer.model.flat().astype(np.float64)], pa.list_(pa.float64()))
     return pa.RecordBatch.from_arrays([pa.array([trainer.n]), pa.array([trainer.loss]), w], ["n", "loss", "w"])
@@ -550,8 +593,8 @@ def _tally(model: Model, y: np.ndarray, firsts: np.ndarray, total: np.ndarray |
 def _tally_pairs(model: Model, y: np.ndarray, firsts: np.ndarray, total: np.ndarray | None) -> np.ndarray:
     """Adds how often each class follows each state."""
     size = CLASSES * KINDS * CLASSES
-    total = np.zeros(size, np.int64) if total is None else total
-    np.add.at(total, model.states(y, firsts)[1] * CLASSES + y, 1)  # as many counts as a table has would be slow
+    total = np.zeros(size, np.uint32) if total is None else total  # a task's texts have fewer than 2**32 subwords
+    np.add.at(total, model.states(y, firsts)[1] * CLASSES + y, np.uint32(1))  # as many counts as a table has would be slow
     return total
 
 
@@ -588,6 +631,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     tasks = max(2 * spark.sparkContext.defaultParallelism, blocks // 4)
     model, loss, fitted = fit(coded, subs, tasks)
 
+    @releasing
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -599,7 +643,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     unseen = math.log10(1 / (train_tokens + types + 1))
 
-    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
+    def rated(left: pa.Table, right: pa.Table) -> pa.Table:
         # c by a word's number in the block: 0 is the end, words without a row were never learned
         at, c = right.column("pos").to_numpy() + 1, right.column("c").to_numpy()
         by_number = np.zeros(int(at.max(initial=0)) + 1, np.int64)
@@ -619,6 +663,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             out.append(pa.table([pa.array(x) for x in columns], names=names))
         return pa.concat_tables(out)
 
+    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = rated(left, right)
+        release()
+        return out
+
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "n_subwords", "score"]
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, n_subwords long, score double"
     attended = f"block long, ids array<{kind}>, learn array<boolean>, n_words array<int>, words binary, n_subs array<int>, score array<double>"

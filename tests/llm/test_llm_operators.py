@@ -4,8 +4,12 @@ import collections
 import hashlib
 import itertools
 import math
+import pickle
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -238,6 +242,58 @@ def test_lm_weights_are_fitted_on_every_training_subword(spark, monkeypatch):
     assert all(math.isclose(again[r.doc_id].base_score, r.base_score, rel_tol=1e-9) for r in df.collect())  # whatever the blocks
 
 
+CODE_BLOCKS = """
+import re
+import numpy as np, pyarrow as pa, pyspark
+from lexigrove.llm import lm_scoring
+
+pyspark.TaskContext.get = classmethod(lambda cls: cls)
+pyspark.TaskContext.partitionId = classmethod(lambda cls: 0)
+held = lambda: sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+numbers = np.random.default_rng(1).zipf(1.3, 400_000) % 300_000
+texts = [" ".join(f"w{x}" for x in part) for part in np.split(numbers, 400)] * 10
+batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts), pa.array([True] * len(texts))], ["id", "t", "learn"])
+del numbers, texts
+for _ in lm_scoring._code(iter([batch.slice(0, 10)])):
+    pass
+before, rows = held(), 0
+for out in lm_scoring._code(iter([batch])):
+    rows += out.num_rows
+del out
+assert rows > 4
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_lm_coding_keeps_no_free_memory():
+    run = subprocess.run([sys.executable, "-c", CODE_BLOCKS], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=300)
+    assert run.returncode == 0, run.stderr
+    assert float(run.stdout) < 40
+
+
+def test_lm_models_are_sent_small():
+    m, _, _ = lm(1)
+    keys = np.random.default_rng(1).permutation(lm_scoring.CLASSES * lm_scoring.KINDS * lm_scoring.CLASSES)[:1_000_000]
+    less = len(pickle.dumps(m))
+    m.gather_pairs(keys, keys % 5 + 1)
+    assert len(pickle.dumps(m)) - less < 2_000_000
+    table, n, _ = pickle.loads(pickle.dumps(m)).values()
+    assert np.array_equal(table[keys], keys % 5 + 1) and table.sum() == n.sum() == (keys % 5 + 1).sum()
+
+
+def test_lm_counts_of_all_tasks_are_summed(spark, monkeypatch):
+    rows = [(i, " ".join(f"word{i * j % 97}" for j in range(i % 50)), "en") for i in range(900)]
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 8 << 10)
+    df, learned = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    total = df.where("not held_out").agg({"n_subwords": "sum"}).first()[0]
+    m = learned["model"]
+    assert m.next_n.sum() == m.next.sum() == total
+    assert m.values()[0].sum() == m.values()[1].sum() == total
+    by_class = m.values()[0].reshape(lm_scoring.CLASSES, lm_scoring.KINDS, lm_scoring.CLASSES).sum(1)
+    assert np.array_equal(by_class, m.next)  # two passes over the same texts
+
+
 def test_lm_windows_overlap_by_a_quarter():
     assert lm_scoring.CONTEXT - lm_scoring.STRIDE >= lm_scoring.CONTEXT // 4
 
